@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from folioscan.llm import decontaminate as _decontaminate
+from folioscan.llm import langid as _langid
+from folioscan.llm import licenses as _licenses
 from folioscan.llm import mixture as _mixture
 from folioscan.llm import simhash as _simhash
+from folioscan.llm.common import held_out, remainder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +21,16 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture.mixture(_table(spark, sf_dir, "documents")).drop("repeats")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out("doc_id", 4, 2).alias("held_out"))
+    learn = F.coalesce(remainder("doc_id", 4) != 2, F.lit(False))
+    return _langid.identify(docs, learn, ("doc_id", "held_out"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -27,6 +41,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op3_language_id": op3_language_id,
+    "op7_license_scan": op7_license_scan,
     "op8_simhash": op8_simhash,
     "op10_decontaminate": op10_decontaminate,
 }
@@ -76,4 +92,21 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(
 FROM d LEFT JOIN h USING (r) LEFT JOIN m USING (r)
 """
 
+OP7_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(
+             translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+p AS (SELECT * FROM (VALUES (['gnu', 'general', 'public', 'license'], 'gpl'), (['apache', 'license'], 'apache'),
+                            (['cc', 'by'], 'cc-by'), (['mit', 'license'], 'mit')) t(q, label)),
+h AS (SELECT r, k - 1 AS pos, label FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS k FROM d), p
+      WHERE w[k:k + len(q) - 1] = q)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, lo::BIGINT AS first_word, hi::BIGINT AS last_word,
+       coalesce(l, '') AS base_labels
+FROM d LEFT JOIN (SELECT r, count(*) AS n, min(pos) AS lo, max(pos) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS l
+                  FROM h GROUP BY r) USING (r)
+"""
+
+#: The base columns of op7 only; what the automaton adds is tested against brute force.
+BASE_SQL = {"op7_license_scan": OP7_SQL}
+
 ORACLE_SQL = {"op1_mix_sources": OP1_SQL, "op10_decontaminate": OP10_SQL}
