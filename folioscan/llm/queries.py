@@ -9,6 +9,7 @@ from folioscan.llm import decontaminate as _decontaminate
 from folioscan.llm import langid as _langid
 from folioscan.llm import licenses as _licenses
 from folioscan.llm import mixture as _mixture
+from folioscan.llm import pii as _pii
 from folioscan.llm import simhash as _simhash
 from folioscan.llm.common import held_out, remainder
 
@@ -27,6 +28,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _langid.identify(docs, learn, ("doc_id", "held_out"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pii.find_pii(_table(spark, sf_dir, "documents"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _licenses.scan_licenses(_table(spark, sf_dir, "documents"))
 
@@ -42,6 +47,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op3_language_id": op3_language_id,
+    "op5_pii": op5_pii,
     "op7_license_scan": op7_license_scan,
     "op8_simhash": op8_simhash,
     "op10_decontaminate": op10_decontaminate,
