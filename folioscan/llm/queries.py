@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscan.llm import brown as _brown
 from folioscan.llm import decontaminate as _decontaminate
 from folioscan.llm import langid as _langid
 from folioscan.llm import licenses as _licenses
 from folioscan.llm import mixture as _mixture
 from folioscan.llm import pii as _pii
+from folioscan.llm import quality as _quality
 from folioscan.llm import simhash as _simhash
 from folioscan.llm.common import held_out, remainder
 
@@ -28,6 +30,17 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _langid.identify(docs, learn, ("doc_id", "held_out"))
 
 
+def op4_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", held_out("doc_id", 5, 1).alias("held_out"))
+    return _brown.class_scores(docs, ~F.col("held_out"), ("doc_id", "held_out"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", held_out("doc_id", 3, 1).alias("held_out"))
+    learn = F.coalesce(remainder("doc_id", 3) != 1, F.lit(False))
+    return _quality.classify(docs, _table(spark, sf_dir, "labels"), learn, ("doc_id", "held_out"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pii.find_pii(_table(spark, sf_dir, "documents"))
 
@@ -47,7 +60,9 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op3_language_id": op3_language_id,
+    "op4_class_lm": op4_class_lm,
     "op5_pii": op5_pii,
+    "op6_quality": op6_quality,
     "op7_license_scan": op7_license_scan,
     "op8_simhash": op8_simhash,
     "op10_decontaminate": op10_decontaminate,
