@@ -9,7 +9,9 @@ from folioscan.llm import brown as _brown
 from folioscan.llm import decontaminate as _decontaminate
 from folioscan.llm import langid as _langid
 from folioscan.llm import licenses as _licenses
+from folioscan.llm import lines as _lines
 from folioscan.llm import mixture as _mixture
+from folioscan.llm import neighbours as _neighbours
 from folioscan.llm import pii as _pii
 from folioscan.llm import quality as _quality
 from folioscan.llm import simhash as _simhash
@@ -24,6 +26,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture.mixture(_table(spark, sf_dir, "documents")).drop("repeats")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines.dedup_report(_table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out("doc_id", 4, 2).alias("held_out"))
     learn = F.coalesce(remainder("doc_id", 4) != 2, F.lit(False))
@@ -53,18 +59,24 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _neighbours.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_line_dedup": op2_line_dedup,
     "op3_language_id": op3_language_id,
     "op4_class_lm": op4_class_lm,
     "op5_pii": op5_pii,
     "op6_quality": op6_quality,
     "op7_license_scan": op7_license_scan,
     "op8_simhash": op8_simhash,
+    "op9_nearest": op9_nearest,
     "op10_decontaminate": op10_decontaminate,
 }
 
