@@ -64,8 +64,9 @@ def mixture(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), max_epochs:
     """``columns`` of every document with size, source_size, target, repeats and taken."""
     hashed = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     shift = 32 - (slices.bit_length() - 1)
+    # Kept columns travel in a struct: their names can't clash with those used here.
     sized = docs.select(
-        *columns, F.col("source").alias("__source"), text_size(F.col("text")).alias("size"), hashed.alias("__order")
+        F.struct(*columns).alias("__row"), F.col("source").alias("__source"), text_size(F.col("text")).alias("size"), hashed.alias("__order")
     )
     sized = sized.withColumn(
         "__slice", F.shiftright(F.conv(F.substring("__order", 1, 8), 16, 10).cast("long"), shift).cast("int")
@@ -91,7 +92,7 @@ def mixture(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), max_epochs:
         .withColumn("repeats", F.when(F.col("size") == 0, F.lit(0)).otherwise(
             F.col("__epochs") + F.when(middle <= fraction, 1).otherwise(0)).cast("int"))
         .withColumn("taken", F.col("repeats") * F.col("size"))
-        .select(*columns, "size", "source_size", "target", "repeats", "taken")
+        .select("__row.*", "size", "source_size", "target", "repeats", "taken")
     )
 
 
