@@ -20,12 +20,9 @@ from folioscan.llm.common import materialize, remainder
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: null texts and texts without any letter."""
     learn = F.coalesce(remainder("doc_id", 4) != 2, F.lit(False))
-    names = [c for c in docs.columns if c != "text"]
-    # The text goes through as a column of its own; the prediction reads text only.
-    carried = docs.select(*names, "text", F.col("text").alias("__whole"))
-    seen = _langid.identify(carried, learn, (*names, "__whole"))
-    kept = seen.where(F.col("lang_pred") != "und")
-    return kept.select(*[F.col("__whole").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    # Whole rows go through as a struct: no column's name can clash with the prediction's.
+    carried = docs.withColumn("__row", F.struct(*docs.columns))
+    return _langid.identify(carried, learn, ("__row",)).where(F.col("lang_pred") != "und").select("__row.*")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,10 +38,8 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that benchmark items contaminate."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    names = [c for c in docs.columns if c != "text"]
-    carried = docs.select(*names, "text", F.col("text").alias("__whole"))
-    seen = _decontaminate.decontaminate(carried, benchmark, (*names, "__whole")).where("not contaminated")
-    return seen.select(*[F.col("__whole").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    carried = docs.withColumn("__row", F.struct(*docs.columns))
+    return _decontaminate.decontaminate(carried, benchmark, ("__row",)).where("not contaminated").select("__row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
