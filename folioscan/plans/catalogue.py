@@ -1,4 +1,6 @@
-"""Queries of the retrieval operators and their SQL twins, by name."""
+"""All queries of the retrieval operators and their SQL twins, by name."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from folioscan.plans import documents, retrieval
+
+QUERIES = {**retrieval.QUERIES, **documents.QUERIES}
+ORACLE_SQL = {**retrieval.ORACLE_SQL, **documents.ORACLE_SQL}
