@@ -54,12 +54,13 @@ def map_texts(
 
     ``setup`` runs once per task and returns ``compute(texts, part)``, which gets the UTF-8 bytes
     (null: empty) of at most ``rows`` rows and returns the new columns in ``schema``'s order.
-    Spark bounds an Arrow batch by rows and bytes, so a task holds one batch and its results.
+    A kept column of a computed one's name gives way to it. Spark bounds an Arrow batch by rows and bytes, so a
+    task holds one batch and its results.
     """
     new = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-    out = T.StructType([df.select(*keep).schema[k] for k in keep] + list(new.fields)) if keep else new
-    names = list(keep)
     columns = [f.name for f in new.fields]
+    names = [k for k in keep if k not in columns]
+    out = T.StructType([df.schema[k] for k in names] + list(new.fields))
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -77,7 +78,7 @@ def map_texts(
                     [a.cast(arrow.field(i).type) for i, a in enumerate(arrays)], schema=arrow
                 )
 
-    return df.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(run, out)
+    return df.select(*names, F.col(text).cast("string").alias("__text")).mapInArrow(run, out)
 
 
 def fold_texts(df: DataFrame, keep: Sequence[str], setup, schema: str, rows: int = 1024) -> DataFrame:

@@ -234,7 +234,8 @@ def decontaminate(
 
 def map_spans(grouped: DataFrame, kept: list[str]) -> DataFrame:
     """Merges the spans that several blocks found in a document and restores repeated rows."""
-    begins, ends = (F.filter("__s", lambda _, i, odd=odd: i % 2 == odd) for odd in (0, 1))
+    begins = F.filter("__s", lambda _, i: i % 2 == 0)
+    ends = F.filter("__s", lambda _, i: i % 2 == 1)
     pairs = F.array_sort(F.zip_with(begins, ends, lambda b, e: F.struct(b.alias("b"), e.alias("e"))))
     merged = F.aggregate(
         pairs,
