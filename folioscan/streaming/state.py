@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from folioscan.shipping import ship
+
 
 def admit(times: list[float], window: float, limit: int, held: deque | None = None) -> list[bool]:
     """Sliding-window admission in time order; what is rejected is not recorded."""
@@ -32,6 +34,7 @@ def admit(times: list[float], window: float, limit: int, held: deque | None = No
 
 def rate_limit(events: DataFrame, key: str, limit: int, window: float = 60.0) -> DataFrame:
     """(event_id, key, ts, allowed) of every event; ties in time by event_id."""
+    ship(events.sparkSession)
     out = f"event_id long, {key} {events.schema[key].dataType.simpleString()}, ts timestamp, allowed boolean"
 
     def fold(f: pd.DataFrame) -> pd.DataFrame:
@@ -47,6 +50,7 @@ def rate_limit_stream(events: DataFrame, key: str, limit: int, window: float = 6
 
     Events of a micro-batch are taken in time order; a key that is silent for a window is forgotten.
     """
+    ship(events.sparkSession)
     kind = events.schema[key].dataType.simpleString()
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
