@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folioscan.shipping import ship
+
 #: ASCII white space; what the contracts call a word is a run of anything else.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -57,6 +59,7 @@ def map_texts(
     A kept column of a computed one's name gives way to it. Spark bounds an Arrow batch by rows and bytes, so a
     task holds one batch and its results.
     """
+    ship(df.sparkSession)
     new = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     columns = [f.name for f in new.fields]
     names = [k for k in keep if k not in columns]
@@ -87,6 +90,7 @@ def fold_texts(df: DataFrame, keep: Sequence[str], setup, schema: str, rows: int
     ``take(texts, part)`` folds rows into bounded task state and may return rows to emit early;
     ``drain()`` returns what is left. Rows are dicts of columns in ``schema``.
     """
+    ship(df.sparkSession)
     out = T._parse_datatype_string(schema)
     columns = [f.name for f in out.fields]
 

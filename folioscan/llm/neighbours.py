@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscan.llm.common import materialize
+from folioscan.shipping import ship
 
 TREES = 16
 BITS = 48
@@ -126,6 +127,7 @@ def _searcher(k: int):
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every row that asks, against all others."""
+    ship(vectors.sparkSession)
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"), is_query.alias("asks"))
     rows = rows.where(usable(F.col("v")) & F.col("vec_id").isNotNull()).distinct()
     # The k + 1 smallest ids of each vector: first by salted parts, then of what these leave.

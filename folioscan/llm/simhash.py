@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from folioscan.llm.common import map_texts, materialize
 from folioscan.llm.components import components
+from folioscan.shipping import ship
 
 WORDS = 4
 DIFFER = 4
@@ -188,6 +189,7 @@ def _linker(columns: tuple[str, ...]):
 
 def links(distinct: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Edges (a, b) between distinct fingerprints ``fp`` whose components are those of all links."""
+    ship(distinct.sparkSession)
     block = F.array(
         *[
             F.struct(
