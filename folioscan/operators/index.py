@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscan.functions.text import raw_tokens, stem
+from folioscan.session import stored
 
 K1 = 1.5
 B = 0.75
@@ -45,19 +46,21 @@ def bm25(queries: DataFrame, docs: DataFrame, key: str = "doc_id", query: str =
     ``queries`` has (query, text). Statistics are those of ``docs``; ``scored``, a subset of keys, limits what is
     scored but never the statistics. Repeated query terms count each time.
     """
-    post = postings(docs, key)
+    # The index is read four times (postings, frequencies, lengths, totals) and so made once.
+    post = stored(postings(docs, key))
     q = terms(queries, query).groupBy(query, "term").agg(F.count("*").alias("qtf"))
-    # Only query terms are looked up, so their frequencies and postings are found together, per term.
     hit = post if scored is None else post.join(scored.select(key).distinct(), key, "left_semi")
     df = document_frequency(post)
     stats = corpus_stats(docs, post)
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     saturated = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    weighted = q.join(df, "term").crossJoin(F.broadcast(stats)).select(query, "term", (F.col("qtf") * idf).alias("w"), "avgdl")
-    return (
-        hit.join(weighted, "term").join(lengths(post, key), key)
-        .groupBy(query, key).agg(F.sum(F.col("w") * saturated).alias("score"))
+    # Each posting of a query term is weighed once, before it meets the questions that ask for it.
+    asked = df.join(q.select("term").distinct(), "term", "left_semi")
+    impact = (
+        hit.join(asked, "term").join(lengths(post, key), key).crossJoin(F.broadcast(stats))
+        .select(key, "term", (idf * saturated).alias("impact"))
     )
+    return impact.join(q, "term").groupBy(query, key).agg(F.sum(F.col("qtf") * F.col("impact")).alias("score"))
 
 
 def top_k(scores: DataFrame, k: int, query: str = "query_id", key: str = "doc_id", positive: bool = True) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folioscan.functions.text import LAYMAN, STOPWORDS, TITLE_SUFFIXES, title_token
 from folioscan.functions.vectors import hashing_embedding
 from folioscan.operators import evaluation, index, ranking, sessions
+from folioscan.session import spread
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -24,7 +25,8 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    df = spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(df) if name == "documents" else df
 
 
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
