@@ -16,10 +16,12 @@ from folioscan.llm import pii as _pii
 from folioscan.llm import quality as _quality
 from folioscan.llm import simhash as _simhash
 from folioscan.llm.common import held_out, remainder
+from folioscan.session import spread
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name == "documents" else df
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
