@@ -1,6 +1,6 @@
 """All queries of the retrieval operators and their SQL twins, by name."""
 
-from folioscan.plans import documents, retrieval
+from folioscan.plans import documents, retrieval, workflow
 
-QUERIES = {**retrieval.QUERIES, **documents.QUERIES}
-ORACLE_SQL = {**retrieval.ORACLE_SQL, **documents.ORACLE_SQL}
+QUERIES = {**retrieval.QUERIES, **documents.QUERIES, **workflow.QUERIES}
+ORACLE_SQL = {**retrieval.ORACLE_SQL, **documents.ORACLE_SQL, **workflow.ORACLE_SQL}

@@ -145,3 +145,26 @@ def test_metrics_stream(spark, tmp_path):
     q = state.request_metrics_stream(stream).writeStream.format("memory").queryName("m").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("m").groupBy().sum("n").first()[0] == 10
+
+
+def test_inspect_page(spark):
+    from folioscan.operators import workflow
+
+    page = lambda *x: tuple(one(spark, workflow.inspect_page(F.array(*map(F.lit, x)) if x else F.array().cast("array<string>"))))
+    assert page("FORM No. 12", "(See section 4)", "BOND") == (12, "BOND", 1.0, True)
+    assert page("a", "b", "FORM No.3", "BOND") == (3, "BOND", 0.8, True)
+    assert page("FORM  No.  3") == (3, None, 0.6, True)
+    assert page("a", "b", "c", "d", "e", "f", "FORM No. 1") == (None, None, 1.0, True)
+    assert page() == (None, None, 0.0, False) and page(" ", "") == (None, None, 0.0, False)
+
+
+def test_workflow_values(spark):
+    from folioscan.operators import workflow
+
+    assert one(spark, workflow.remaining_stages(F.lit("EMBEDDING"))) == ["INDEXING", "READY"]
+    assert one(spark, workflow.remaining_stages(F.lit("FAILED"))) == [] and one(spark, workflow.remaining_stages(F.lit("READY"))) == []
+    assert [one(spark, workflow.retry_delay(F.lit(i), F.lit(None).cast("double"))) for i in (1, 2, 5)] == [0.5, 1.0, 5.0]
+    forms = spark.createDataFrame([(1, "Bond to keep the peace"), (2, "Peace bond kept"), (12, "Summons")], "form_number int, title string")
+    asks = spark.createDataFrame([(1, "keep peace"), (2, "12"), (3, "the peace"), (4, "nothing here")], "query_id int, query string")
+    got = {(r.query_id, r.form_number): r.score for r in workflow.search_forms(asks, forms).collect()}
+    assert got == {(1, 1): 250, (2, 12): 1_000_000, (3, 1): 500_000, (3, 2): 150}
