@@ -35,6 +35,8 @@ WORDS = 4
 DIFFER = 4
 LIMIT = 2000
 FAN = 8
+#: Groups up to this size are one leaf of the index.
+LEAF = 24
 #: Bit ranges (from, width) of the 5 blocks.
 BLOCKS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
 
@@ -176,13 +178,33 @@ def gray_links(fp: np.ndarray, differ: int = DIFFER, known: np.ndarray | None =
     return order[joined], order[forest.root[joined]]
 
 
-def _linker(columns: tuple[str, ...]):
+def _linker(known: bool):
+    """Links of a batch of groups; groups no larger than a leaf are compared within it, all at once."""
+
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        fp = pdf["fp"].to_numpy().astype(np.int64).view(np.uint64)
-        known = pdf["root"].to_numpy() if "root" in columns else None
-        a, b = gray_links(fp, known=known)
-        values = pdf["fp"].to_numpy()
-        return pd.DataFrame({"a": values[a], "b": values[b]})
+        pdf = pdf.sort_values(["block", "bits", "page"], kind="stable")
+        values = pdf["fp"].to_numpy().astype(np.int64)
+        fp = values.view(np.uint64)
+        keys = pdf[["block", "bits", "page"]].to_numpy()
+        starts = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(1))))
+        sizes = np.diff(np.append(starts, len(fp)))
+        own = np.repeat(np.arange(len(starts)), sizes)
+        root = pdf["root"].to_numpy() if known else values
+        leaf = sizes[own] <= LEAF
+        forest = _Forest(len(fp))
+        for gap in range(1, int(min(LEAF, sizes.max()))):
+            near = leaf[gap:] & (own[gap:] == own[:-gap]) & (root[gap:] != root[:-gap])
+            near &= np.bitwise_count(fp[gap:] ^ fp[:-gap]) <= DIFFER
+            at = np.flatnonzero(near)
+            forest.link(at, at + gap)
+        linked = np.flatnonzero(forest.root != np.arange(len(fp)))
+        a, b = [linked], [forest.root[linked]]
+        for k in np.flatnonzero(sizes > LEAF):
+            lo, hi = starts[k], starts[k] + sizes[k]
+            x, y = gray_links(fp[lo:hi], known=root[lo:hi] if known else None)
+            a.append(x + lo)
+            b.append(y + lo)
+        return pd.DataFrame({"a": values[np.concatenate(a)], "b": values[np.concatenate(b)]})
 
     return link
 
@@ -207,8 +229,11 @@ def links(distinct: DataFrame, limit: int = LIMIT) -> DataFrame:
         "page", F.pmod(F.xxhash64("fp"), F.col("pages"))
     )
     edge = "a long, b long"
-    first = materialize(paged.select("block", "bits", "page", "fp").groupBy("block", "bits", "page")
-                        .applyInPandas(_linker(("fp",)), edge))
+    # Most groups are tiny; they reach Python in batches of about ``limit`` rows, whatever their number.
+    batches = max(1, -(-dealt.count() // limit))
+    batch = F.pmod(F.xxhash64("block", "bits", "page"), F.lit(batches))
+    first = materialize(paged.select("block", "bits", "page", "fp").groupBy(batch.alias("batch"))
+                        .applyInPandas(_linker(False), edge))
     large = paged.where("pages > 1")
     if large.isEmpty():
         return first
@@ -224,7 +249,7 @@ def links(distinct: DataFrame, limit: int = LIMIT) -> DataFrame:
     goes = mixed.where("root <> main").select(
         "block", "bits", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pages") - 1)).alias("page"), "fp", "root"
     )
-    second = stays.union(goes).groupBy("block", "bits", "page").applyInPandas(_linker(("fp", "root")), edge)
+    second = stays.union(goes).groupBy(batch.alias("batch")).applyInPandas(_linker(True), edge)
     return first.union(materialize(second))
 
 
