@@ -34,11 +34,19 @@ def inspect_page(lines: Column) -> Column:
 
 
 def search_forms(queries: DataFrame, forms: DataFrame, stopwords: tuple[str, ...] = ("the", "to", "of", "a", "an", "and", "or", "for", "in")) -> DataFrame:
-    """(query_id, form_number, score): exact number, phrase, else all content words, with a bonus for their order."""
+    """(query_id, form_number, score): exact number, phrase, else all content words, with a bonus for their order.
+
+    An empty question finds nothing. Questions meet forms only on keys that any match must share: the number, the
+    phrase's first three characters (fewer where it is shorter), or the first content word.
+    """
     words = lambda c: F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: (w != "") & ~w.isin(*stopwords))
-    q = queries.select("query_id", F.lower(F.trim("query")).alias("__q"), words(F.col("query")).alias("__w"))
-    f = forms.select("form_number", "title", F.lower(F.concat_ws(" ", "title", slug(F.col("title")))).alias("__h"), words(F.col("title")).alias("__t"))
-    pairs = f.crossJoin(q)  # searches over a manifest: a phrase may stand anywhere, so every pair is judged
+    key = lambda kind, value: F.concat(F.lit(kind), value)
+    q = queries.select("query_id", F.lower(F.trim("query")).alias("__q"), words(F.col("query")).alias("__w")).where("__q <> ''")
+    asked = F.array(key("n:", F.col("__q")), key("g:", F.substring("__q", 1, 3)), key("w:", F.get("__w", 0)))
+    f = forms.select("form_number", F.lower(F.concat_ws(" ", "title", slug(F.col("title")))).alias("__h"), words(F.col("title")).alias("__t"))
+    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.length("__h")), lambda i: F.array(*[key("g:", F.substring("__h", i, F.lit(n))) for n in (1, 2, 3)])))
+    held = F.array_distinct(F.concat(F.array(key("n:", F.col("form_number").cast("string"))), F.when(F.length("__h") > 0, grams).otherwise(F.array().cast("array<string>")), F.transform("__t", lambda w: key("w:", w))))
+    met = q.select("*", F.explode(F.array_distinct(F.array_compact(asked))).alias("__k")).join(f.select("*", F.explode(held).alias("__k")), "__k").drop("__k")
     distinct = F.array_distinct("__w")
     places = F.transform("__w", lambda w: F.array_position("__t", w))
     ordered = F.array_sort(places) == places
@@ -46,7 +54,8 @@ def search_forms(queries: DataFrame, forms: DataFrame, stopwords: tuple[str, ...
         F.when(F.col("__q") == F.col("form_number").cast("string"), 1_000_000).when(F.contains("__h", "__q"), 500_000)
         .when((F.size(distinct) > 0) & (F.size(F.array_except(distinct, "__t")) == 0), F.size(distinct) * 100 + F.when(ordered, 50).otherwise(0))
     )
-    return pairs.select("query_id", "form_number", score.cast("long").alias("score")).where("score is not null")
+    scored = met.select("query_id", "form_number", score.cast("long").alias("score")).where("score is not null")
+    return scored.groupBy("query_id", "form_number").agg(F.max("score").alias("score"))
 
 
 def unique_names(rows: DataFrame, name: Column, order: list[str], extension: str = ".pdf") -> DataFrame:

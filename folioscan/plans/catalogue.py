@@ -1,6 +1,7 @@
 """All queries of the retrieval operators and their SQL twins, by name."""
 
-from folioscan.plans import documents, retrieval, workflow
+from folioscan.plans import answers, documents, retrieval, workflow
 
-QUERIES = {**retrieval.QUERIES, **documents.QUERIES, **workflow.QUERIES}
-ORACLE_SQL = {**retrieval.ORACLE_SQL, **documents.ORACLE_SQL, **workflow.ORACLE_SQL}
+_PARTS = (retrieval, documents, workflow, answers)
+QUERIES = {name: q for part in _PARTS for name, q in part.QUERIES.items()}
+ORACLE_SQL = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}

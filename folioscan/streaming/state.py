@@ -1,7 +1,7 @@
 """Stateful operators: admission, circuit breaking, job states, request metrics; batch and streaming.
 
-The batch forms fold the events of one key in a grouped map: a key's decisions depend on its earlier
-ones, so the fold is sequential by nature, and keys are dealt over tasks. The streaming
+Admission folds a key's events in order: its decisions depend on its earlier ones, so the fold is sequential by
+nature, and keys are dealt over tasks. The streaming
 forms keep the same state per key in the state store.
 """
 
@@ -33,16 +33,31 @@ def admit(times: list[float], window: float, limit: int, held: deque | None = No
 
 
 def rate_limit(events: DataFrame, key: str, limit: int, window: float = 60.0) -> DataFrame:
-    """(event_id, key, ts, allowed) of every event; ties in time by event_id."""
+    """(event_id, key, ts, allowed) of every event; ties in time by event_id.
+
+    A key's events stand together and in order in one partition and stream through it: what is held is one batch
+    and, of the current key, the admitted times within the window (``limit`` at most), however many events it has.
+    """
     ship(events.sparkSession)
     out = f"event_id long, {key} {events.schema[key].dataType.simpleString()}, ts timestamp, allowed boolean"
 
-    def fold(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["ts", "event_id"])
-        seconds = f["ts"].astype("datetime64[us]").astype("int64") / 1e6
-        return f.assign(allowed=admit(seconds.tolist(), window, limit))[["event_id", key, "ts", "allowed"]]
-
-    return events.select("event_id", key, "ts").groupBy(key).applyInPandas(fold, out)
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, held = None, deque()
+        for f in frames:
+            seconds = f["ts"].astype("datetime64[us]").astype("int64").to_numpy() / 1e6
+            allowed: list[bool] = []
+            run = f[key].ne(f[key].shift()) & ~(f[key].isna() & f[key].shift().isna())
+            run.iloc[:1] = True
+            starts = [*run.to_numpy().nonzero()[0].tolist(), len(f)]
+            for a, b in zip(starts, starts[1:]):
+                k = None if pd.isna(f[key].iloc[a]) else f[key].iloc[a]
+                if (k,) != current:
+                    current, held = (k,), deque()
+                allowed += admit(seconds[a:b].tolist(), window, limit, held)
+            yield f.assign(allowed=allowed)
+
+    ordered = events.select("event_id", key, "ts").repartition(key).sortWithinPartitions(key, "ts", "event_id")
+    return ordered.mapInPandas(fold, out)
 
 
 def rate_limit_stream(events: DataFrame, key: str, limit: int, window: float = 60.0) -> DataFrame:
