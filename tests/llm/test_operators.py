@@ -131,6 +131,57 @@ def test_lines_against_brute_force(spark, data, documents):
     assert not got - want and len(want - got) <= 0.02 * len(want)
 
 
+def full_drops(rows):
+    """Dropped lines by comparing all pairs over shingles at every character."""
+    seen = defaultdict(list)
+    for i, t in rows:
+        for j, line in enumerate((t or "").split("\n")):
+            if line.strip():
+                seen[line.strip()].append((i, j))
+    names = list(seen)
+    sets = [{n[i : i + 8] for i in range(max(1, len(n) - 7))} for n in names]
+    holders = defaultdict(list)
+    edges = defaultdict(set)
+    for k, s in enumerate(sets):
+        for o, c in Counter(o for g in s for o in holders[g]).items():
+            if c >= 0.8 * (len(s) + len(sets[o]) - c):
+                edges[k].add(o)
+                edges[o].add(k)
+        for g in s:
+            holders[g].append(k)
+    drops, done = set(), set()
+    for k in range(len(names)):
+        if k not in done:
+            group, todo = {k}, [k]
+            while todo:
+                new = edges[todo.pop()] - group
+                group |= new
+                todo += new
+            done |= group
+            drops |= set(sorted(x for m in group for x in seen[names[m]])[1:])
+    return drops
+
+
+def test_lines_against_full_shingles(spark, data, documents):
+    got = {(r.doc_id, j) for r in queries.op2_line_dedup(spark, data).collect() for j in r.dropped}
+    want = full_drops([(i, t) for i, t, _ in documents])
+    assert not got - want and len(want - got) <= 0.02 * len(want)
+
+
+def test_lines_differ_beyond_a_words_start(spark):
+    rng = random.Random(5)
+    pick = lambda a, n: "".join(rng.choice(a) for _ in range(n))
+    cjk = "".join(map(chr, range(0x4E00, 0x5200)))
+    far = [f"https://example.org/{pick('abcdefghijklmnop', 40)}" for _ in range(20)]
+    far += ["東京都千代田区丸の内" + pick(cjk, 40) for _ in range(20)]
+    far += [" ".join(f"account_number_{pick('0123456789', 14)}" for _ in range(4)) for _ in range(20)]
+    url, han, long = f"https://example.org/{pick('qrstuvw', 120)}", pick(cjk, 90), " ".join(pick("abcdefghij", 14) for _ in range(12))
+    near = [url, url[:-1] + "x", han, "新" + han, long, long + "s"]
+    docs = spark.createDataFrame(list(enumerate(far + near)), "doc_id long, text string")
+    got = {r.doc_id for r in lines.dedup_report(docs).where("n_kept < n_lines").collect()}
+    assert got == {i for i, _ in full_drops(enumerate(far + near))} == {len(far) + k for k in (1, 3, 5)}
+
+
 # --- 3 language
 
 def test_language(spark, data, documents):
