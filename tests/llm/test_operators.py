@@ -182,6 +182,24 @@ def test_lines_differ_beyond_a_words_start(spark):
     assert got == {i for i, _ in full_drops(enumerate(far + near))} == {len(far) + k for k in (1, 3, 5)}
 
 
+def test_lines_of_one_template(spark):
+    rng = random.Random(6)
+    w = lambda n: [" " + "".join(rng.choice("abcdefghijklmnop") for _ in range(9)) for _ in range(n)]
+    frame = "".join(w(20))
+    rows = []
+    for k in range(400):
+        own = w(9)
+        rows.append((k, frame + "".join(own)))
+        if k % 4 == 0:
+            # The copy has one word more and stands anywhere in the order.
+            own.insert(rng.randrange(9), w(1)[0])
+            rows.append((1000 + k, frame + "".join(own)))
+    want = full_drops(rows)
+    assert {i for i, _ in want} == {1000 + k for k in range(0, 400, 4)}
+    got = lines.dedup_report(spark.createDataFrame(rows, "doc_id long, text string")).where("n_kept < n_lines")
+    assert {r.doc_id for r in got.collect()} == {i for i, _ in want}
+
+
 # --- 3 language
 
 def test_language(spark, data, documents):
