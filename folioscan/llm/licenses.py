@@ -3,12 +3,14 @@
 The automaton holds every run of words of every template; each state knows which templates its
 runs stand in. A text streams through it and yields matching statistics: for each word the
 longest run ending there that some template holds. Runs that can't be extended and have at least
-``MIN_RUN`` words are chained per template: matches in text order with small gaps become one span,
-whose score is the share of the template's words that it covers. A template covered by
+``MIN_RUN`` words are chained per template: matches in text order at most ``GAP`` words apart, whether
+the templates know these words or not, become one span, whose score is the share of the template's words
+that it covers, each counted once. A template covered by
 ``MIN_COVER`` or more gives its label. The base phrases are templates of their own, found exactly.
 
 Only stretches of licence words that hold a ``MIN_RUN``-word run of a template can hold such a match,
-so the automaton streams over these; elsewhere the statistics stay below ``MIN_RUN``.
+so the automaton streams over these; elsewhere the statistics stay below ``MIN_RUN``. Chains run
+over all such stretches of a text by their places in it.
 
 Cases: null, empty and word-free texts have no words, labels '' and score 0; repeated rows are
 scanned one by one; ties between templates give all their labels.
@@ -137,27 +139,35 @@ class Scanner:
         self.labels = [label for label, _ in templates]
         self.sequences = [ids(text) for _, text in templates]
         self.automaton = Automaton(self.sequences)
+        self.places: list[dict[tuple[int, ...], list[int]]] = []
+        for s in self.sequences:
+            self.places.append({})
+            for k in range(len(s) - MIN_RUN + 1):
+                self.places[-1].setdefault(tuple(s[k : k + MIN_RUN]), []).append(k)
         self.seeds = np.unique(np.concatenate([_keys(np.array(s), MIN_RUN) for s in self.sequences]))
 
-    def spans(self, ids: list[int]) -> dict[int, float]:
-        """Template → best covered share among the chained spans of this stretch."""
-        chains: dict[int, list[list[int]]] = {}
-        for end, length, mask in self.automaton.matches(ids):
-            if length < MIN_RUN:
-                continue
-            for t in range(len(self.sequences)):
-                if mask >> t & 1:
-                    spans = chains.setdefault(t, [])
-                    begin = end - length
-                    if spans and begin - spans[-1][0] <= GAP and begin >= spans[-1][1]:
-                        spans[-1][2] += length
-                        spans[-1][0], spans[-1][1] = end, end
-                    elif spans and begin < spans[-1][1]:
-                        spans[-1][2] += max(0, end - spans[-1][1])
-                        spans[-1][0], spans[-1][1] = end, max(end, spans[-1][1])
-                    else:
-                        spans.append([end, end, length])
-        return {t: min(1.0, max(s[2] for s in spans) / len(self.sequences[t])) for t, spans in chains.items()}
+    def spans(self, stretches: list[tuple[int, list[int]]]) -> dict[int, float]:
+        """Template → best covered share among the chained spans of a text's stretches, given with their places."""
+        chains: dict[int, tuple[int, set[int]]] = {}
+        best: dict[int, int] = {}
+        for offset, ids in stretches:
+            for end, length, mask in self.automaton.matches(ids):
+                if length < MIN_RUN:
+                    continue
+                run, begin = ids[end - length : end], offset + end - length
+                for t, sequence in enumerate(self.sequences):
+                    if mask >> t & 1:
+                        stop, covered = chains.get(t, (begin, set()))
+                        if begin - stop > GAP:
+                            stop, covered = begin, set()
+                        # Words of the text that an earlier match holds count there; a run that the template
+                        # repeats goes where it covers most.
+                        new = max(0, stop - begin)
+                        at = [k for k in self.places[t][tuple(run[:MIN_RUN])] if sequence[k : k + length] == run]
+                        covered |= max((set(range(k + new, k + length)) for k in at), key=lambda x: len(x - covered))
+                        chains[t] = max(stop, begin + length), covered
+                        best[t] = max(best.get(t, 0), len(covered))
+        return {t: n / len(self.sequences[t]) for t, n in best.items()}
 
     def scan(self, texts: list[bytes]) -> dict[str, list]:
         get = self.vocabulary.get
@@ -188,10 +198,13 @@ class Scanner:
         slot = np.minimum(np.searchsorted(self.seeds, keys[hits]), len(self.seeds) - 1)
         hits = hits[self.seeds[slot] == keys[hits]]
         breaks = np.flatnonzero(ids == 0)
+        stretches: dict[int, list[tuple[int, list[int]]]] = {}
         for end in np.unique(np.searchsorted(breaks, hits)).tolist():
             lo, hi = (int(breaks[end - 1]) + 1 if end else 0), int(breaks[end])
             d = int(np.searchsorted(starts, lo, side="right") - 1)
-            for t, share in self.spans(ids[lo:hi].tolist()).items():
+            stretches.setdefault(d, []).append((lo, ids[lo:hi].tolist()))
+        for d, of in stretches.items():
+            for t, share in self.spans(of).items():
                 score[d] = max(score[d], share)
                 if share >= MIN_COVER:
                     labels[d].add(self.labels[t])

@@ -346,6 +346,20 @@ def test_license_labels():
     assert got["first_word"] == [None, None, None, 0] and got["last_word"] == [None, None, None, 3]
 
 
+def test_license_chains_cross_foreign_words():
+    s = licenses.Scanner()
+    grant = licenses.TEMPLATES[0][1].split()
+    n = len(grant)
+    foreign = ["zq1", "zq2", "zq3", "zq4", "zq5", "zq6", "zq7"]
+    texts = [
+        grant[:15] + foreign[:1] + grant[15:], grant[:10] + foreign[:6] + grant[10:20] + foreign[:1] + grant[20:], grant[:14] + foreign[:1] + grant[15:],
+        grant[:14] + grant[15:], foreign * 9 + grant[:15] + foreign[:1] + grant[15:], grant[:15] + foreign + grant[15:], ("hereby granted free zq " * 12).split(),
+    ]
+    got = s.scan([" ".join(t).encode() for t in texts])
+    assert got["labels"] == ["mit"] * 5 + ["", ""]
+    assert [round(x * n) for x in got["score"]] == [n, n, n - 1, n - 1, n, 15, 3]
+
+
 def test_licenses_odd(odd, odd_rows, empty):
     assert licenses.scan_licenses(odd).count() == len(odd_rows) and licenses.scan_licenses(empty).count() == 0
 
