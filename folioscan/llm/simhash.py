@@ -253,8 +253,8 @@ def links(distinct: DataFrame, limit: int = LIMIT) -> DataFrame:
     return first.union(materialize(second))
 
 
-def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), limit: int = LIMIT) -> DataFrame:
-    """``keep`` columns of every document with fingerprint and component_id."""
+def _grouped(docs: DataFrame, keep: tuple[str, ...], limit: int = LIMIT) -> DataFrame:
+    """``keep`` columns of every document with fp, component_id and __root, the fingerprint that names its component."""
     names = [c for c in keep if c != "doc_id"]
     marked = materialize(fingerprints(docs, ("doc_id", *names)))
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
@@ -263,8 +263,14 @@ def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), limit:
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_fp = named.join(smallest, "root").select(F.col("fp").alias("__fp"), "component_id")
-    return marked.join(of_fp, F.col("fp") == F.col("__fp")).select(
+    of_fp = named.join(smallest, "root").select(F.col("fp").alias("__fp"), "component_id", F.col("root").alias("__root"))
+    return marked.join(of_fp, F.col("fp") == F.col("__fp")).drop("__fp")
+
+
+def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), limit: int = LIMIT) -> DataFrame:
+    """``keep`` columns of every document with fingerprint and component_id."""
+    names = [c for c in keep if c != "doc_id"]
+    return _grouped(docs, keep, limit).select(
         "doc_id", *names, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
@@ -272,14 +278,15 @@ def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), limit:
 def keep_one(docs: DataFrame) -> DataFrame:
     """Documents without all but one of each near-duplicate group: the smallest doc_id stays.
 
-    Of several texts with that doc_id the one with the smallest hash stays, of equal rows one.
-    Rows without a doc_id can't be named and stay.
+    Groups are told apart by their fingerprints, as two may hold different texts of one doc_id. Of several texts with
+    that doc_id in a group the one with the smallest hash stays, of equal rows one. Rows without a doc_id can't be
+    named and stay.
     """
     hashed = docs.withColumn("__h", F.xxhash64("text"))
-    marked = near_duplicates(hashed.where("doc_id is not null"), ("doc_id", "__h"))
+    marked = _grouped(hashed.where("doc_id is not null"), ("doc_id", "__h"))
     stay = (
-        marked.where("doc_id = component_id").groupBy("component_id").agg(F.min("__h").alias("__least"))
-        .select(F.col("component_id").alias("__id"), "__least")
+        marked.groupBy("__root").agg(F.min(F.struct("doc_id", "__h")).alias("s"))
+        .select(F.col("s.doc_id").alias("__id"), F.col("s.__h").alias("__least"))
     )
     named = hashed.join(stay, (F.col("doc_id") == F.col("__id")) & (F.col("__h") == F.col("__least")), "left_semi")
     return named.dropDuplicates(["doc_id", "__h"]).unionByName(hashed.where("doc_id is null")).drop("__h")

@@ -428,6 +428,15 @@ def test_simhash_odd(odd, odd_rows, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
 
 
+def test_keep_one_of_groups_that_share_an_id(spark):
+    rng = random.Random(8)
+    w = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    a, b = w(300), w(300)
+    docs = spark.createDataFrame([(7, a), (9, a), (7, b), (12, b), (7, a), (13, w(300))], "doc_id long, text string")
+    got = sorted((r.doc_id, r.text) for r in simhash.keep_one(docs).where("doc_id < 13").collect())
+    assert got == sorted([(7, a), (7, b)])
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(5, 5)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}
