@@ -94,43 +94,6 @@ def test_lines_odd(odd, odd_rows, empty):
     assert lines.dedup_report(empty).count() == 0
 
 
-def brute_drops(rows):
-    """Dropped lines by comparing all pairs that share a shingle."""
-    pattern = re.compile(r"(?s)(?<!\S)(?=(\S.{0,7}))")
-    seen = defaultdict(list)
-    for i, t, _ in rows:
-        for j, line in enumerate((t or "").split("\n")):
-            if line.strip():
-                seen[line.strip()].append((i, j))
-    names = list(seen)
-    sets = [{m.group(1) for m in pattern.finditer(n)} for n in names]
-    holders = defaultdict(list)
-    for k, s in enumerate(sets):
-        for g in s:
-            holders[g].append(k)
-    root = list(range(len(names)))
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for k, s in enumerate(sets):
-        for o, c in Counter(o for g in s for o in holders[g] if o < k).items():
-            if c >= 0.8 * (len(s) + len(sets[o]) - c):
-                root[find(k)] = find(o)
-    groups = defaultdict(list)
-    for k, n in enumerate(names):
-        groups[find(k)] += seen[n]
-    return {x for g in groups.values() for x in sorted(g)[1:]}
-
-
-def test_lines_against_brute_force(spark, data, documents):
-    got = {(r.doc_id, j) for r in queries.op2_line_dedup(spark, data).collect() for j in r.dropped}
-    want = brute_drops(documents)
-    assert not got - want and len(want - got) <= 0.02 * len(want)
-
-
 def full_drops(rows):
     """Dropped lines by comparing all pairs over shingles at every character."""
     seen = defaultdict(list)
