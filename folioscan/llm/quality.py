@@ -1,14 +1,15 @@
 """Quality classifier: random-indexing word vectors, pooled per document, and a calibrated network.
 
-Pieces of text (runs of letters, digits or marks) in a vocabulary of the ``VOCABULARY`` most frequent
-ones have vectors; all others share the vector of their shape. Each piece has a sparse ternary
-index vector; its context vector is the sum of its neighbours' index vectors over all documents,
-which is computed from co-occurrence counts, so it is exact whatever the partitioning. A
-document is the mean and spread of its pieces' vectors. A two-layer numpy network maps it to a
-logit, whose temperature is fitted on a third of the sample that training leaves out.
+Pieces of text (runs of letters, digits or marks) have no vocabulary: the hash of a piece names one of ``ROWS`` rows,
+and every row has a sparse ternary index vector that its number seeds. A row's context vector is the sum of the index vectors
+of its pieces' neighbours over all documents: whole numbers, so it is exact whatever the partitioning. Rare words thus
+count as they stand; words that share a row share its vector. A document is the mean and spread of its pieces'
+context vectors, the mean of their index vectors, and the shares of kinds of bytes. A two-layer numpy network maps it to a logit,
+whose temperature and bias are fitted on a third of the sample that training leaves out.
 
-Labels are fitted on a bounded sample of about ``PER_CLASS`` rows of each label (documented bound),
-drawn by a hash of the id; counts, vectors and scores read all texts.
+Labels are fitted on a bounded sample of about ``PER_CLASS`` rows of each label (documented bound), drawn by a hash of
+the id. In training both labels weigh the same; in calibration each row weighs as many labelled rows as it stands for, so that
+scores are probabilities of the labels' own shares. Counts, vectors and scores read all texts.
 
 Cases: null and empty texts are pooled as zero and scored like any text; null labels and labels
 without a document teach nothing; several labels of one id count once, by majority, ties to 1; with
@@ -18,7 +19,6 @@ no labels, or one class only, every score is that class's share (0.5 without any
 from __future__ import annotations
 
 import re
-from collections import Counter
 from itertools import chain
 from zlib import crc32
 
@@ -29,137 +29,114 @@ from pyspark.sql import functions as F
 from folioscan.llm.common import fold_texts, map_texts
 
 PIECE = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^\sA-Za-z0-9\x80-\xff]+")
-VOCABULARY = 2000
-SHAPES = (b"<low>", b"<cap>", b"<up>", b"<num>", b"<mark>", b"<long>")
+ROWS = 1 << 13
 DIM = 64
 NONZERO = 8
 REACH = 2
 PER_CLASS = 2500
 HIDDEN = 24
-FLUSH = 200_000
+#: Kinds of bytes: white space, lower and upper case, digits, marks, others.
+_KIND = np.array([0 if c in b" \t\n\r\x0b\x0c" else 1 if 97 <= c <= 122 else 2 if 65 <= c <= 90 else 3 if 48 <= c <= 57 else 4 if c < 128 else 5 for c in range(256)])
+WIDTH = 3 * DIM + 7
 
 
-def shape_of(piece: bytes) -> bytes:
-    """The shape that stands for a piece outside the vocabulary."""
-    c = piece[0]
-    if 48 <= c <= 57:
-        return b"<num>"
-    if not (65 <= c <= 90 or 97 <= c <= 122 or c >= 128):
-        return b"<mark>"
-    if len(piece) > 40:
-        return b"<long>"
-    if piece.isupper() and len(piece) > 1:
-        return b"<up>"
-    return b"<cap>" if 65 <= c <= 90 else b"<low>"
+def piece_rows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of all pieces of all texts, and the number of each text's pieces."""
+    lists = [[crc32(w) for w in PIECE.findall(t)] for t in texts]
+    lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(lengths.sum())) % ROWS, lengths
 
 
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> list[bytes]:
-    """The most frequent pieces over all documents, ties by bytes."""
+def index_places() -> np.ndarray:
+    """Dimensions of each row's index vector: half of them positive, then half negative."""
+    return np.stack([np.random.default_rng(i).choice(DIM, NONZERO, replace=False) for i in range(ROWS)])
 
-    def setup():
-        seen: Counter = Counter()
-
-        def drain():
-            rows = {"piece": list(seen), "n": list(seen.values())}
-            seen.clear()
-            return rows
 
-        def take(texts, _):
-            for t in texts:
-                seen.update(PIECE.findall(t))
-            return drain() if len(seen) > FLUSH else None
-
-        return take, drain
-
-    counts = fold_texts(docs, [], setup, "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    return [bytes(r["piece"]) for r in counts.orderBy(F.desc("n"), "piece").limit(size).toLocalIterator()]
-
-
-class Pieces:
-    """Ids of pieces: the vocabulary, then the shapes."""
-
-    def __init__(self, words: list[bytes]):
-        self.index = {w: i for i, w in enumerate([*words, *SHAPES])}
-        self.size = len(self.index)
+def index_vectors() -> np.ndarray:
+    """The index vectors, one a row."""
+    out = np.zeros((ROWS, DIM), np.float32)
+    places = index_places()
+    np.put_along_axis(out, places[:, : NONZERO // 2], 1, 1)
+    np.put_along_axis(out, places[:, NONZERO // 2 :], -1, 1)
+    return out
 
-    def ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        get, shapes = self.index.get, self.index
-        lists = []
-        for t in texts:
-            found = PIECE.findall(t)
-            lists.append([i if (i := get(w)) is not None else shapes[shape_of(w)] for w in found])
-        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-        return np.fromiter(chain.from_iterable(lists), np.int64, int(lengths.sum())), lengths
 
-    def index_vectors(self) -> np.ndarray:
-        """Sparse ternary vectors, seeded by the piece itself."""
-        out = np.zeros((self.size, DIM), np.int64)
-        for w, i in self.index.items():
-            rng = np.random.default_rng(crc32(w))
-            at = rng.choice(DIM, NONZERO, replace=False)
-            out[i, at[: NONZERO // 2]], out[i, at[NONZERO // 2 :]] = 1, -1
-        return out
+def context_sums(texts: list[bytes], places: np.ndarray) -> np.ndarray:
+    """For each row the sum of its pieces' neighbours' index vectors."""
+    ids, lengths = piece_rows(texts)
+    owner = np.repeat(np.arange(len(texts)), lengths)
+    # The hash of a row and its neighbour is not stored: pairs become cells of (row, dimension) at once.
+    out = np.zeros(ROWS * DIM)
+    half = NONZERO // 2
+    for gap in range(1, REACH + 1):
+        same = owner[gap:] == owner[:-gap]
+        x, y = ids[:-gap][same], ids[gap:][same]
+        for a, b in ((x, y), (y, x)):
+            cells = a[:, None] * DIM + places[b]
+            out += np.bincount(cells[:, :half].ravel(), minlength=len(out))
+            out -= np.bincount(cells[:, half:].ravel(), minlength=len(out))
+    return out.reshape(ROWS, DIM)
 
 
-def context_vectors(docs: DataFrame, pieces: Pieces) -> np.ndarray:
-    """Unit context vectors of all pieces; sums of whole numbers, so the order of tasks is no matter."""
+def context_vectors(docs: DataFrame) -> np.ndarray:
+    """Unit context vectors of all rows."""
 
     def setup():
-        counts = np.zeros((pieces.size, pieces.size), np.int64)
+        places = index_places()
+        sums = np.zeros((ROWS, DIM))
 
         def take(texts, _):
-            ids, lengths = pieces.ids(texts)
-            owner = np.repeat(np.arange(len(texts)), lengths)
-            for gap in range(1, REACH + 1):
-                same = owner[gap:] == owner[:-gap]
-                keys = ids[:-gap][same] * pieces.size + ids[gap:][same]
-                counts.ravel()[:] += np.bincount(keys, minlength=pieces.size**2)
+            sums[:] += context_sums(texts, places)
 
         def drain():
-            # In float64, exact up to 2^53; whole-number matrix products have no fast routine.
-            sums = (counts + counts.T).astype(np.float64) @ pieces.index_vectors().astype(np.float64)
-            at = np.flatnonzero(sums.ravel())
-            return {"at": at, "n": sums.ravel()[at].astype(np.int64)}
+            used = np.flatnonzero(sums.any(1))
+            return {"row": used, "v": sums[used].astype(np.int64).tolist()}
 
         return take, drain
 
-    cells = fold_texts(docs, [], setup, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(pieces.size * DIM)
-    out[cells.column("at").to_numpy()] = cells.column("n").to_numpy()
-    out = out.reshape(pieces.size, DIM)
+    parts = fold_texts(docs, [], setup, "row long, v array<long>")
+    got = parts.groupBy("row").agg(F.array(*[F.sum(F.col("v")[i]) for i in range(DIM)]).alias("v")).toArrow()
+    out = np.zeros((ROWS, DIM))
+    if got.num_rows:
+        out[got.column("row").to_numpy()] = got.column("v").combine_chunks().flatten().to_numpy().reshape(-1, DIM)
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return (out / np.where(norm == 0, 1, norm)).astype(np.float32)
 
 
-def pooled(texts: list[bytes], pieces: Pieces, vectors: np.ndarray) -> np.ndarray:
-    """Mean and spread of the vectors of each text's pieces."""
-    out = np.zeros((len(texts), 2 * DIM), np.float32)
+def pooled(texts: list[bytes], context: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """Mean and spread of the context vectors of each text's pieces, mean of the index vectors, shares of kinds of bytes."""
+    out = np.zeros((len(texts), WIDTH), np.float32)
     for at in range(0, len(texts), 64):
-        ids, lengths = pieces.ids(texts[at : at + 64])
+        ids, lengths = piece_rows(texts[at : at + 64])
         end = np.cumsum(lengths)
-        for i, (b, e) in enumerate(zip(end - lengths, end)):
+        for i, (b, e) in enumerate(zip(end - lengths, end), at):
             if e > b:
-                # As weighted sums over distinct pieces: memory follows the vocabulary, not the text.
-                weight = np.bincount(ids[b:e], minlength=pieces.size)
-                used = np.flatnonzero(weight)
-                w = (weight[used] / (e - b)).astype(np.float32)
-                mean = w @ vectors[used]
-                out[at + i, :DIM] = mean
-                out[at + i, DIM:] = np.sqrt(np.maximum(w @ vectors[used] ** 2 - mean**2, 0))
+                # As weighted sums over distinct rows: memory follows the rows, not the text.
+                used, times = np.unique(ids[b:e], return_counts=True)
+                w, c = (times / (e - b)).astype(np.float32), context[used]
+                mean = w @ c
+                kinds = np.bincount(_KIND[np.frombuffer(texts[i], np.uint8)], minlength=6)
+                out[i] = np.concatenate((mean, np.sqrt(np.maximum(w @ c**2 - mean**2, 0)), w @ index[used], kinds / kinds.sum(), [np.log1p(e - b)]))
     return out
 
 
 class Network:
-    """Two layers with tanh, standardised inputs, and a temperature."""
+    """Two layers with tanh, standardised inputs, a temperature and a bias."""
 
     def __init__(self, share: float = 0.5):
         self.share, self.fitted = share, False
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 60, rate: float = 3e-3, decay: float = 1e-4) -> Network:
+    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, epochs: int = 60, rate: float = 3e-3, decay: float = 1e-2) -> Network:
+        """``weight``: how many labelled rows each row stands for."""
         rng = np.random.default_rng(3)
+        weight = np.ones(len(y)) if weight is None else weight
         order = rng.permutation(len(x))
         cut = len(x) - len(x) // 3
         train, held = order[:cut], order[cut:]
+        # Labels weigh the same in training: the rarer one's training rows are repeated, after the split.
+        few = train[y[train] == (y[train].mean() < 0.5)]
+        if len(few):
+            train = np.concatenate([train, np.tile(few, max(1, round((len(train) - len(few)) / len(few))) - 1)])
         self.mean, self.scale = x[train].mean(0), x[train].std(0) + 1e-4
         z = (x - self.mean) / self.scale
         p = [rng.normal(0, x.shape[1] ** -0.5, (x.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, HIDDEN), np.zeros(1)]
@@ -178,11 +155,8 @@ class Network:
                     m[k] = 0.9 * m[k] + 0.1 * g
                     v[k] = 0.999 * v[k] + 0.001 * g * g
                     p[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
-        self.p, self.temperature, self.fitted = p, 1.0, True
-        logit, target = self.logits(x[held]), y[held]
-        grid = np.exp(np.linspace(np.log(0.25), np.log(8), 80))
-        loss = [np.mean(np.logaddexp(0, logit / t) - target * logit / t) for t in grid] if len(held) else [0]
-        self.temperature = float(grid[int(np.argmin(loss))]) if len(held) else 1.0
+        self.p, self.fitted = p, True
+        self.temperature, self.bias = calibrate(self.logits(x[held]), y[held], weight[held])
         return self
 
     def logits(self, x: np.ndarray) -> np.ndarray:
@@ -192,52 +166,67 @@ class Network:
     def scores(self, x: np.ndarray) -> np.ndarray:
         if not self.fitted:
             return np.full(len(x), self.share)
-        return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -60, 60)))
+        return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature + self.bias, -60, 60)))
+
+
+def calibrate(logit: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Temperature (0.25 to 64) and bias of least weighted log loss; each label keeps half a row's doubt."""
+    if not len(y):
+        return 1.0, 0.0
+    # Targets short of 0 and 1 keep the bias finite where a few rows part perfectly.
+    many = np.array([max(1, np.sum(y == k)) for k in (0, 1)])
+    target = np.where(y == 1, (many[1] + 0.5) / (many[1] + 1), 0.5 / (many[0] + 1))
+    w = weight / weight.sum()
+    best = (np.inf, 1.0, 0.0)
+    for t in np.exp(np.linspace(np.log(0.25), np.log(64), 80)):
+        z, bias = logit / t, 0.0
+        for _ in range(25):
+            q = 1 / (1 + np.exp(-np.clip(z + bias, -60, 60)))
+            bias -= float(np.clip((w * (q - target)).sum() / max(1e-9, (w * q * (1 - q)).sum()), -2, 2))
+        loss = float((w * (np.logaddexp(0, z + bias) - target * (z + bias))).sum())
+        best = min(best, (loss, float(t), bias))
+    return best[1], best[2]
 
 
 def labelled_sample(labels: DataFrame, learn: Column, per_class: int = PER_CLASS) -> DataFrame:
-    """(doc_id, y) of about ``per_class`` rows of each label."""
+    """(doc_id, y, stands) of about ``per_class`` rows of each label; stands: how many labelled rows one stands for."""
     known = (
         labels.where(learn & F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id")
         .agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
     )
     counts = {r["y"]: r["count"] for r in known.groupBy("y").count().toLocalIterator()}
     draw = F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 30))
-    part = lambda k: F.lit(int(min(1, per_class / counts.get(k, 1)) * (1 << 30)))
-    return known.where(draw < F.when(F.col("y") == 1, part(1)).otherwise(part(0)))
+    share = lambda k: min(1, per_class / counts.get(k, 1))
+    of = lambda x: F.when(F.col("y") == 1, F.lit(x(1))).otherwise(F.lit(x(0)))
+    return known.where(draw < of(lambda k: int(share(k) * (1 << 30)))).withColumn("stands", of(lambda k: 1 / share(k)))
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, pieces: Pieces, vectors: np.ndarray, per_class: int = PER_CLASS) -> Network:
-    """Fits the network on the pooled vectors of the sample."""
+def train(docs: DataFrame, labels: DataFrame, learn: Column, context: np.ndarray, index: np.ndarray, per_class: int = PER_CLASS) -> Network:
+    """Fits the network on the pooled vectors of the sample; of several texts of one id that with the smallest hash teaches."""
     # The sample has 2 * per_class rows or so, whatever the tables' size: it may be broadcast.
     sample = labelled_sample(labels, learn, per_class)
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    texts = found.groupBy("doc_id", "y", "stands").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def setup():
-        return lambda texts, _: {"x": pooled(texts, pieces, vectors).astype(np.float64).tolist()}
+        return lambda texts, _: {"x": pooled(texts, context, index).astype(np.float64).tolist()}
 
-    rows = map_texts(texts, ["doc_id", "y"], setup, "x array<double>").toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["doc_id"], r["x"]))
+    rows = map_texts(texts, ["doc_id", "y", "stands"], setup, "x array<double>").toArrow().to_pylist()
+    rows.sort(key=lambda r: r["doc_id"])
     y = np.array([r["y"] for r in rows], float)
     if len(set(y)) < 2:
         return Network(float(y.mean()) if len(y) else 0.5)
-    # Classes weigh the same: the rarer one is repeated.
-    x = np.array([r["x"] for r in rows])
-    few = np.flatnonzero(y == (y.mean() < 0.5))
-    times = max(1, round((len(y) - len(few)) / len(few)))
-    pick = np.concatenate([np.arange(len(y)), np.tile(few, times - 1)])
-    return Network().fit(x[pick], y[pick])
+    return Network().fit(np.array([r["x"] for r in rows]), y, np.array([r["stands"] for r in rows]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, learn: Column, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns of every document with score and predicted."""
-    pieces = Pieces(vocabulary(docs))
-    vectors = context_vectors(docs, pieces)
-    network = train(docs, labels, learn, pieces, vectors)
+    context, index = context_vectors(docs), index_vectors()
+    network = train(docs, labels, learn, context, index)
 
     def setup():
         def compute(texts, _):
-            score = network.scores(pooled(texts, pieces, vectors))
+            score = network.scores(pooled(texts, context, index))
             return {"score": score, "predicted": (score >= 0.5).astype(np.int32)}
 
         return compute

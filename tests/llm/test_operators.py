@@ -280,6 +280,39 @@ def test_quality_odd(spark, odd, odd_rows, empty):
     assert quality.classify(empty, labels, F.lit(True)).count() == 0
 
 
+def test_context_sums_against_brute_force():
+    texts = ["a b c a, the é 12".encode(), b"", b"x", b"b a"]
+    index = quality.index_vectors()
+    want = np.zeros_like(index)
+    for t in texts:
+        ids = [zlib.crc32(w) % quality.ROWS for w in quality.PIECE.findall(t)]
+        for i, a in enumerate(ids):
+            for j in range(max(0, i - quality.REACH), min(len(ids), i + quality.REACH + 1)):
+                if i != j:
+                    want[a] += index[ids[j]]
+    assert np.array_equal(quality.context_sums(texts, quality.index_places()), want)
+
+
+def test_quality_is_calibrated_on_skewed_labels():
+    rng = np.random.default_rng(4)
+    for share in (0.13, 0.8):
+        y = (rng.random(6000) < share).astype(float)
+        x = rng.normal(size=(6000, 20))
+        x[:, 0] += 0.8 * y
+        net = quality.Network().fit(x[:3000], y[:3000])
+        p = net.scores(x[3000:])
+        loss = -np.mean(np.where(y[3000:] == 1, np.log(p), np.log(1 - p)))
+        real = y[3000:].mean()
+        constant = -(real * math.log(share) + (1 - real) * math.log(1 - share))
+        assert loss < constant and abs(p.mean() - share) < 0.04
+        # A sample with as many rows of both labels gives the same shares by its weights.
+        few = np.flatnonzero(y[:3000] == (share < 0.5))
+        more = np.flatnonzero(y[:3000] != (share < 0.5))
+        pick = np.concatenate([few, more[: len(few)]])
+        stands = np.where(y[pick] == (share < 0.5), 1.0, len(more) / len(few))
+        assert abs(quality.Network().fit(x[pick], y[pick], stands).scores(x[3000:]).mean() - share) < 0.06
+
+
 # --- 7 licences
 
 def test_licenses(spark, data, duck):
