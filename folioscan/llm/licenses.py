@@ -5,8 +5,9 @@ runs stand in. A text streams through it and yields matching statistics: for eac
 longest run ending there that some template holds. Runs that can't be extended and have at least
 ``MIN_RUN`` words are chained per template: matches in text order at most ``GAP`` words apart, whether
 the templates know these words or not, become one span, whose score is the share of the template's words
-that it covers, each counted once. A template covered by
-``MIN_COVER`` or more gives its label. The base phrases are templates of their own, found exactly.
+that it covers, each counted once. A span that covers ``MIN_COVER`` of its template gives the template's label if it covers one of its
+distinctive words, which no template of another label has, or else the whole template; and it gives way to a span of
+another label that overlaps it and covers more words. The base phrases are templates of their own, found exactly.
 
 Only stretches of licence words that hold a ``MIN_RUN``-word run of a template can hold such a match,
 so the automaton streams over these; elsewhere the statistics stay below ``MIN_RUN``. Chains run
@@ -18,6 +19,7 @@ scanned one by one; ties between templates give all their labels.
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from itertools import chain
 
 import numpy as np
@@ -52,7 +54,17 @@ TEMPLATES = [
     ("gpl", "This work is licensed under the GNU General Public License, version 3"),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
+    ("mit", "The Software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement. In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the Software or the use or other dealings in the Software"),
+    ("bsd", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("isc", "The software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"),
+    ("zlib", "This software is provided as is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software"),
+    ("lgpl", "This library is free software; you can redistribute it and or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
+    ("agpl", "This program is free software: you can redistribute it and or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License"),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License"),
+    ("cc-by-nd", "This work is licensed under a Creative Commons Attribution NoDerivatives 4.0 International License"),
     ("cc-by", "Licensed under CC BY 4.0"),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
     ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
@@ -144,12 +156,18 @@ class Scanner:
             self.places.append({})
             for k in range(len(s) - MIN_RUN + 1):
                 self.places[-1].setdefault(tuple(s[k : k + MIN_RUN]), []).append(k)
+        # Places of each template's words that no template of another label has.
+        holders: dict[int, set[str]] = {}
+        for label, sequence in zip(self.labels, self.sequences):
+            for w in sequence:
+                holders.setdefault(w, set()).add(label)
+        self.telling = [{k for k, w in enumerate(x) if len(holders[w]) == 1} for x in self.sequences]
         self.seeds = np.unique(np.concatenate([_keys(np.array(s), MIN_RUN) for s in self.sequences]))
 
-    def spans(self, stretches: list[tuple[int, list[int]]]) -> dict[int, float]:
-        """Template → best covered share among the chained spans of a text's stretches, given with their places."""
-        chains: dict[int, tuple[int, set[int]]] = {}
-        best: dict[int, int] = {}
+    def spans(self, stretches: list[tuple[int, list[int]]]) -> list[tuple[int, int, int, set[int]]]:
+        """(template, begin, stop, covered places) of the chains over a text's stretches, given with their places."""
+        chains: dict[int, list] = {}
+        done: list[tuple[int, int, int, set[int]]] = []
         for offset, ids in stretches:
             for end, length, mask in self.automaton.matches(ids):
                 if length < MIN_RUN:
@@ -157,17 +175,38 @@ class Scanner:
                 run, begin = ids[end - length : end], offset + end - length
                 for t, sequence in enumerate(self.sequences):
                     if mask >> t & 1:
-                        stop, covered = chains.get(t, (begin, set()))
-                        if begin - stop > GAP:
-                            stop, covered = begin, set()
+                        own = chains.get(t)
+                        if own is None or begin - own[1] > GAP:
+                            if own is not None:
+                                done.append((t, *own))
+                            own = chains[t] = [begin, begin, set()]
                         # Words of the text that an earlier match holds count there; a run that the template
                         # repeats goes where it covers most.
-                        new = max(0, stop - begin)
+                        new = max(0, own[1] - begin)
                         at = [k for k in self.places[t][tuple(run[:MIN_RUN])] if sequence[k : k + length] == run]
-                        covered |= max((set(range(k + new, k + length)) for k in at), key=lambda x: len(x - covered))
-                        chains[t] = max(stop, begin + length), covered
-                        best[t] = max(best.get(t, 0), len(covered))
-        return {t: n / len(self.sequences[t]) for t, n in best.items()}
+                        own[2] |= max((set(range(k + new, k + length)) for k in at), key=lambda x: len(x - own[2]))
+                        own[1] = max(own[1], begin + length)
+        return done + [(t, *own) for t, own in chains.items()]
+
+    def named(self, found: list[tuple[int, int, int, set[int]]]) -> list[tuple[str, int, int]]:
+        """(label, begin, stop) of the chains that give their label."""
+        good = [
+            x for x in found
+            if len(x[3]) >= MIN_COVER * len(self.sequences[x[0]]) and (x[3] & self.telling[x[0]] or len(x[3]) == len(self.sequences[x[0]]))
+        ]
+        # From the largest down: what is kept is kept in order of places, so a look at the neighbours is enough.
+        kept: dict[str, list[tuple[int, int, int]]] = {}
+        for t, begin, stop, covered in sorted(good, key=lambda x: (-len(x[3]), x[1], x[0])):
+            label = self.labels[t]
+            if not any(self._meets(v, begin, stop, len(covered)) for k, v in kept.items() if k != label):
+                insort(kept.setdefault(label, []), (begin, stop, len(covered)))
+        return sorted({(label, b, e) for label, spans in kept.items() for b, e, _ in spans}, key=lambda x: (x[1], x[2], x[0]))
+
+    @staticmethod
+    def _meets(spans: list[tuple[int, int, int]], begin: int, stop: int, size: int) -> bool:
+        """Whether one of the sorted spans, which reach over GAP and a template's length at most a word, overlaps and covers more."""
+        at = bisect_left(spans, (stop, 0, 0))
+        return any(e > begin and n > size for _, e, n in spans[max(0, at - 64) : at])
 
     def scan(self, texts: list[bytes]) -> dict[str, list]:
         get = self.vocabulary.get
@@ -192,6 +231,7 @@ class Scanner:
             for d in np.unique(owner).tolist():
                 base[d].add(label)
         labels = [set(x) for x in base]
+        spans: list[list[str]] = [[] for _ in texts]
         score = [1.0 if x else 0.0 for x in base]
         keys = _keys(ids, MIN_RUN)
         hits = np.flatnonzero(keys)
@@ -204,10 +244,11 @@ class Scanner:
             d = int(np.searchsorted(starts, lo, side="right") - 1)
             stretches.setdefault(d, []).append((lo, ids[lo:hi].tolist()))
         for d, of in stretches.items():
-            for t, share in self.spans(of).items():
-                score[d] = max(score[d], share)
-                if share >= MIN_COVER:
-                    labels[d].add(self.labels[t])
+            found = self.spans(of)
+            score[d] = max([score[d], *(len(x[3]) / len(self.sequences[x[0]]) for x in found)])
+            for label, begin, stop in self.named(found):
+                labels[d].add(label)
+                spans[d].append(f"{label}:{begin - starts[d]}:{stop - starts[d]}")
         some = count > 0
         return {
             "n_words": lengths,
@@ -217,13 +258,17 @@ class Scanner:
             "base_labels": [",".join(sorted(x)) for x in base],
             "labels": [",".join(sorted(x)) for x in labels],
             "score": score,
+            "spans": [",".join(x) for x in spans],
         }
 
 
 def scan_licenses(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), templates=None, phrases=None) -> DataFrame:
-    """``keep`` columns with n_words, n_base, first_word, last_word, base_labels, labels, score."""
+    """``keep`` columns with n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
+
+    spans: label:start:end of the chained spans that gave labels, in words from 0, ends exclusive.
+    """
     scanner = Scanner(templates or TEMPLATES, phrases or PHRASES)
     return map_texts(
         docs, list(keep), lambda: lambda texts, _: scanner.scan(texts),
-        "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double",
+        "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans string",
     )

@@ -356,6 +356,59 @@ def test_license_chains_cross_foreign_words():
     assert [round(x * n) for x in got["score"]] == [n, n, n - 1, n - 1, n, 15, 3]
 
 
+def test_license_labels_are_told_apart():
+    s = licenses.Scanner()
+    notice = lambda kind: f"x This work is licensed under a Creative Commons Attribution{kind} 4.0 International License"
+    texts = ["The film was released under the title Blue Moon", notice(""), notice("-NonCommercial"), notice("-ShareAlike"), "licensed under CC BY-NC 4.0",
+             "and associated documentation " * 8, "Released under the MIT License", licenses.TEMPLATES[8][1].replace("GNU", "GNU Lesser").replace("program", "library")]
+    got = s.scan([t.encode() for t in texts])
+    assert got["labels"] == ["", "cc-by", "cc-by-nc", "cc-by-sa", "cc-by,cc-by-nc", "", "mit", "lgpl"]
+    assert got["spans"][1] == "cc-by:1:14" and got["spans"][0] == "" and got["spans"][4] == "cc-by-nc:0:7"
+
+
+def slow_spans(s, words):
+    """Chains over all maximal common runs of a text and each template, without an automaton."""
+    out = {}
+    for t, x in enumerate(s.sequences):
+        ends = {}
+        for i in range(len(words)):
+            for k in range(len(x)):
+                n = 0
+                while i + n < len(words) and k + n < len(x) and words[i + n] == x[k + n]:
+                    n += 1
+                if n >= licenses.MIN_RUN:
+                    ends[i + n] = max(ends.get(i + n, 0), n)
+        chain_ = None
+        for end, n in sorted(ends.items()):
+            if any(e > end and e - m <= end - n for e, m in ends.items()):
+                continue
+            begin = end - n
+            if chain_ is None or begin - chain_[1] > licenses.GAP:
+                chain_ = [begin, begin]
+                out.setdefault(t, []).append(chain_)
+            chain_[1] = end
+    return {(t, b, e) for t, v in out.items() for b, e in v}
+
+
+def test_license_chains_against_brute_force():
+    rng = random.Random(8)
+    templates = [("x", " ".join(rng.choice("abcdefgh") for _ in range(14))), ("y", " ".join(rng.choice("abcdefgh") for _ in range(9)))]
+    for text_seed in range(150):
+        s = licenses.Scanner(templates[text_seed % 2 :][:1], [])
+        words = [rng.choice("abcdefghz") for _ in range(30)]
+        for _ in range(3):
+            i, k = rng.randrange(25), rng.randrange(6)
+            words[i : i + 5] = templates[text_seed % 2][1].split()[k : k + 5]
+        ids = [s.vocabulary.get(w.encode(), 0) for w in words]
+        stretches, at = [], 0
+        for i, w in enumerate([*ids, 0]):
+            if w == 0:
+                if i > at:
+                    stretches.append((at, ids[at:i]))
+                at = i + 1
+        assert {x[:3] for x in s.spans(stretches)} == slow_spans(s, [w or -1 for w in ids])
+
+
 def test_licenses_odd(odd, odd_rows, empty):
     assert licenses.scan_licenses(odd).count() == len(odd_rows) and licenses.scan_licenses(empty).count() == 0
 
