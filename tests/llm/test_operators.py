@@ -199,6 +199,36 @@ def test_class_model(spark, data, documents):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_most_frequent_words(spark):
+    rng = random.Random(9)
+    counts = {f"w{i}".encode(): min(rng.randint(1, 400), rng.randint(1, 400)) for i in range(300)}
+    df = spark.createDataFrame([(bytearray(w), n) for w, n in counts.items()], "word binary, n long")
+    for size in (0, 1, 40, 299, 300, 1000):
+        got = brown.most_frequent(df, size)
+        cut = min((n for _, n in got), default=500)
+        # All words from the cut-off on, as many as fit.
+        assert got == sorted(((w, n) for w, n in counts.items() if n >= cut), key=lambda x: (-x[1], x[0]))
+        below = max((n for n in counts.values() if n < cut), default=0)
+        assert len(got) <= size and (not below or sum(n >= below for n in counts.values()) > size)
+
+
+def test_exchange_step_against_full_likelihood():
+    rng = np.random.default_rng(6)
+    counts = rng.poisson(2.0, (9, 9))
+    h = lambda x: np.where(x > 0, x * np.log(np.maximum(x, 1)), 0.0)
+
+    def likelihood(of):
+        one = np.eye(5, dtype=int)[of]
+        grid = one.T @ counts @ one
+        return h(grid).sum() - 2 * h(np.bincount(of, counts.sum(0), 5)).sum()
+
+    of = np.concatenate([np.arange(7) % 3, [3, 4]])
+    for w in range(7):
+        tries = [likelihood(np.concatenate([of[:w], [c], of[w + 1 :]])) for c in range(3)]
+        of[w] = int(np.argmax(tries))
+    assert likelihood(brown.exchange(counts, 2, 3, sweeps=1)) == pytest.approx(likelihood(of))
+
+
 def test_class_model_is_a_distribution(spark):
     docs = spark.createDataFrame([(1, "a b a c"), (2, "b a d"), (3, None)], "doc_id long, text string")
     counts = brown.word_counts(docs)
