@@ -6,18 +6,19 @@ address, card, phone or secret by their shapes and their neighbours' shapes, so
 secrets (``token = "..."``) and numbers that the patterns miss. Its spans are added where they
 don't touch a base span; base spans stay.
 
-Decoding is exact Viterbi over chains, many chains at a time in numpy. A chain ends at the end of
-a line, and past 32 words at the next plain word, at the latest after 64 words. Scores of a word
-depend on its shape only, so they are kept per shape in a bounded table of the task.
+Decoding is exact Viterbi over whole lines, many lines at a time in numpy: lines of all lengths advance
+together, so a long one costs its own words. Scores of a word depend on its shape only, so they are kept per shape in a
+bounded table of the task.
 
 Cases: null and empty texts have no spans, counts 0 and the digest of ''; offsets count code
-points, ends are exclusive; repeated rows are scanned one by one; very long texts are cut into
-chains, never dropped.
+points, ends are exclusive; repeated rows are scanned one by one; time and memory grow
+with a text's length, not its square.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from hashlib import sha256
 
 import numpy as np
@@ -315,15 +316,6 @@ class Tagger:
             self.scores[at] = self.crf.sums(s)
         return at
 
-    def chains(self, words: list[bytes]) -> list[int]:
-        """Lengths of the chains that a line's words fall into."""
-        out, at = [], 0
-        while len(words) - at > 32:
-            n = next((i + 1 for i in range(32, min(64, len(words) - at)) if words[at + i].isalpha()), min(64, len(words) - at))
-            out.append(n)
-            at += n
-        return [*out, len(words) - at] if len(words) > at else out
-
     def tags(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Labels of all words of all texts, and where each text's words start."""
         words: list[bytes] = []
@@ -333,7 +325,7 @@ class Tagger:
             for line in text.split(b"\n"):
                 if w := line.split():
                     words += w
-                    lengths += [len(w)] if len(w) <= 32 else self.chains(w)
+                    lengths.append(len(w))
             bounds.append(len(words))
         if not words:
             return np.zeros(0, np.int8), np.array(bounds)
@@ -396,12 +388,25 @@ def added_spans(text: bytes, labels: np.ndarray, taken: list[tuple[int, int]]) -
             plausible = m and len(_digits(m.group())) >= _LEAST[kind]
             if plausible and (kind != "card" or luhn(_digits(m.group()))):
                 b, e = lo + m.start(), lo + m.end()
-                if all(e <= x or y <= b for x, y in taken):
+                # ``taken`` is sorted and free of overlaps: only the spans around ``b`` can meet it.
+                at = bisect_right(taken, (b, len(text)))
+                if (not at or taken[at - 1][1] <= b) and (at == len(taken) or e <= taken[at][0]):
                     out.append((kind, b, e))
         i = j
     return out
 
 
+def merged_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans, those that overlap made one."""
+    out: list[tuple[int, int]] = []
+    for b, e in sorted(spans):
+        if out and b < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((b, e))
+    return out
+
+
 def scan(texts: list[bytes], tagger: Tagger) -> dict[str, list]:
     """Counts, digest and spans of each text."""
     tags, bounds = tagger.tags(texts)
@@ -411,8 +416,13 @@ def scan(texts: list[bytes], tagger: Tagger) -> dict[str, list]:
         base = base_spans(text)
         lo, hi = bounds[i], bounds[i + 1]
         taken = [x for k in KINDS for x in base[k]]
-        extra = added_spans(text, tags[lo:hi], taken) if marked[hi] > marked[lo] else []
-        chars = (lambda b: b) if text.isascii() else (lambda b, t=text: len(t[:b].decode()))
+        extra = added_spans(text, tags[lo:hi], merged_spans(taken)) if marked[hi] > marked[lo] else []
+        if text.isascii() or not (taken or extra):
+            chars = int
+        else:
+            # Code points before each byte, in one pass over the text.
+            before = np.concatenate(([0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)))
+            chars = before.__getitem__
         if taken or extra:
             base_text = [f"{k}:{chars(b)}:{chars(e)}" for k in KINDS for b, e in base[k]]
             merged = {k: sorted([*base.get(k, []), *((b, e) for x, b, e in extra if x == k)]) for k in EXTRA}
