@@ -268,9 +268,9 @@ def _grouped(docs: DataFrame, keep: tuple[str, ...], limit: int = LIMIT) -> Data
 
 
 def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), limit: int = LIMIT) -> DataFrame:
-    """``keep`` columns of every document with fingerprint and component_id."""
-    names = [c for c in keep if c != "doc_id"]
-    return _grouped(docs, keep, limit).select(
+    """``keep`` columns (one of a computed name gives way) of every document with fingerprint and component_id."""
+    names = [c for c in keep if c not in ("doc_id", "fingerprint", "component_id", "fp", "__root")]
+    return _grouped(docs, ("doc_id", *names), limit).select(
         "doc_id", *names, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
