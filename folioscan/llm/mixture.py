@@ -97,7 +97,13 @@ def mixture(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), max_epochs:
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every document as often as it is taken, with ``copy`` counting from 1."""
-    names = [c for c in docs.columns if c not in ("size", "source_size", "target", "repeats", "taken", "copy")]
-    chosen = mixture(docs, tuple(names), **options).where(F.col("repeats") > 0)
-    return chosen.select(*names, "size", "source_size", "target", F.explode(F.sequence(F.lit(1), "repeats")).alias("copy"))
+    """The mix itself: every document as often as it is taken, with ``copy`` counting from 1.
+
+    All columns of the documents stay; a new one whose name a document column has gets ``mix_`` before it.
+    """
+    chosen = mixture(docs.withColumn("__all", F.struct(*docs.columns)), ("doc_id", "__all"), **options).where(F.col("repeats") > 0)
+    name = lambda c: f"mix_{c}" if c in docs.columns else c
+    return chosen.select(
+        "__all.*", *[F.col(c).alias(name(c)) for c in ("size", "source_size", "target")],
+        F.explode(F.sequence(F.lit(1), "repeats")).alias(name("copy")),
+    )
