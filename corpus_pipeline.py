@@ -17,12 +17,16 @@ from folioscan.llm import simhash as _simhash
 from folioscan.llm.common import materialize, remainder
 
 
+#: The least probability of its likeliest language that a document needs to stay.
+LEAST_SURE = 0.3
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: null texts and texts without any letter."""
+    """Drops documents without a language: no text, no letter, or none that the network gives ``LEAST_SURE`` or more."""
     learn = F.coalesce(remainder("doc_id", 4) != 2, F.lit(False))
     # Whole rows go through as a struct: no column's name can clash with the prediction's.
     carried = docs.withColumn("__row", F.struct(*docs.columns))
-    return _langid.identify(carried, learn, ("__row",)).where(F.col("lang_pred") != "und").select("__row.*")
+    return _langid.identify(carried, learn, ("__row",)).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SURE)).select("__row.*")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
