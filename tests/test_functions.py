@@ -67,6 +67,8 @@ def test_citations(spark):
     assert [tuple(r) for r in got] == [("BNS", "103", ""), ("BNS", "5", "(1)(2)"), ("BNSS", "7", "")]
     docs = one(spark, legal.document_citations(F.lit("[Document d31f9cab p.2] [{d31f9cab} p.1] [deadbeef00]")))
     assert [tuple(r) for r in docs] == [("d31f9cab", 2), ("d31f9cab", 1), ("deadbeef00", None)]
+    docs = one(spark, legal.document_citations(F.lit("[Document doc-17 p.2] [Document {ab12} p.1] [doc-17 p.2] [Document x]")))
+    assert [tuple(r) for r in docs] == [("doc-17", 2), ("ab12", 1), ("x", None)]
 
 
 @pytest.mark.parametrize("t,want", [("कायदा काय आहे", "mr"), ("यह क्या है", "hi"), ("What does धारा 103 say?", "en"), ("", "en"), (None, "en"), ("ধাৰা কি", "as")])
