@@ -46,20 +46,19 @@ def bm25(queries: DataFrame, docs: DataFrame, key: str = "doc_id", query: str =
     ``queries`` has (query, text). Statistics are those of ``docs``; ``scored``, a subset of keys, limits what is
     scored but never the statistics. Repeated query terms count each time.
     """
-    # The index is read four times (postings, frequencies, lengths, totals) and so made once.
-    post = stored(postings(docs, key))
     q = terms(queries, query).groupBy(query, "term").agg(F.count("*").alias("qtf"))
+    # A document's length travels with its tokens, and only terms that are asked for become postings.
+    tokens = docs.select(key, raw_tokens(F.col("text")).alias("t")).select(key, F.size("t").alias("dl"), F.explode("t").alias("token"))
+    asked = tokens.select(key, "dl", stem(F.col("token")).alias("term")).join(q.select("term").distinct(), "term", "left_semi")
+    post = stored(asked.groupBy(key, "dl", "term").agg(F.count("*").alias("tf")))
+    stats = docs.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum(F.size(raw_tokens(F.col("text")))), F.lit(0)).alias("n_tokens"))
+    stats = stats.select("n_docs", F.when(F.col("n_docs") == 0, F.lit(0.0)).otherwise(F.col("n_tokens") / F.col("n_docs")).alias("avgdl"))
     hit = post if scored is None else post.join(scored.select(key).distinct(), key, "left_semi")
-    df = document_frequency(post)
-    stats = corpus_stats(docs, post)
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     saturated = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    # Each posting of a query term is weighed once, before it meets the questions that ask for it.
-    asked = df.join(q.select("term").distinct(), "term", "left_semi")
-    impact = (
-        hit.join(asked, "term").join(lengths(post, key), key).crossJoin(F.broadcast(stats))
-        .select(key, "term", (idf * saturated).alias("impact"))
-    )
+    # A term's weight is worked out once, and a posting's before it meets the questions; the one row of totals is broadcast.
+    weights = document_frequency(post).crossJoin(F.broadcast(stats)).select("term", "n_docs", "avgdl", idf.alias("idf"))
+    impact = hit.join(weights, "term").select(key, "term", (F.col("idf") * saturated).alias("impact"))
     return impact.join(q, "term").groupBy(query, key).agg(F.sum(F.col("qtf") * F.col("impact")).alias("score"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioscan.functions.text import slug
 
@@ -12,7 +13,19 @@ STAGES = ("QUEUED", "PARSING", "CHUNKING", "EMBEDDING", "INDEXING", "READY")
 #: Cooldowns in seconds by kind of failure.
 COOLDOWNS = {"rate_limit": 30.0, "timeout": 60.0, "permanent": 600.0, "transient": 60.0, "unknown": 60.0}
 #: Parts of a key whose value is not to be shown.
-SECRET_MARKS = ("password", "secret", "token", "api_key", "authorization", "cookie")
+SECRET_MARKS = ("api_key", "apikey", "password", "secret", "token", "credential")
+#: What stands in place of a secret, and how an already masked text begins.
+MASK, MASKED = "***redacted***", "**********"
+#: A form's header, and lines that are running heads.
+FORM_HEADER = r"(?i)^\s*FORM\s+No\.?\s*(\d+)\s*$"
+RUNNING_HEAD = r"(?i)GAZETTE\s+OF\s+INDIA|EXTRAORDINARY|UPLOADED\s+BY|PUBLISHED\s+BY|^\(See\s+section"
+
+
+def form_title(line: Column) -> Column:
+    """Whether a line looks like a form's title: four characters or more, over 70 % letters and blanks, no dot leaders."""
+    t = F.trim(F.regexp_replace(line, r"\s+", " "))
+    letters = F.length(F.regexp_replace(t, r"[^\p{L}\s]", ""))
+    return (F.length(t) >= 4) & ~line.rlike(FORM_HEADER) & ~t.rlike(RUNNING_HEAD) & ~F.contains(t, F.lit(".....")) & (letters > 0.7 * F.length(t))
 
 
 def inspect_page(lines: Column) -> Column:
@@ -21,13 +34,13 @@ def inspect_page(lines: Column) -> Column:
     A header stands in the first six lines with text; in the first two it is certain, deeper 0.8; a page whose next
     three lines hold no title is worth 0.6 at most, an empty page nothing.
     """
-    header = r"(?i)^\s*FORM\s+No\.?\s*(\d+)\s*$"
+    header = FORM_HEADER
     body = F.filter(lines, lambda x: F.trim(x) != "")
     window = F.slice(body, 1, 6)
     at = F.coalesce(F.array_position(F.transform(window, lambda x: x.rlike(header)), True), F.lit(0)).cast("int")
     number = F.when(at > 0, F.regexp_extract(F.get(window, at - 1), header, 1).cast("int"))
-    after = F.filter(F.slice(body, at + 1, 3), lambda x: ~x.rlike(r"(?i)GAZETTE\s+OF\s+INDIA|EXTRAORDINARY|UPLOADED\s+BY|PUBLISHED\s+BY|^\(See\s+section") & ~x.rlike(header))
-    title = F.when(at > 0, F.trim(F.get(after, 0)))
+    after = F.filter(F.slice(body, at + 1, 3), form_title)
+    title = F.when(at > 0, F.trim(F.regexp_replace(F.get(after, 0), r"\s+", " ")))
     sure = F.when(F.size(body) == 0, 0.0).when(at == 0, 1.0).otherwise(F.when(at <= 2, 1.0).otherwise(0.8))
     sure = F.when((at > 0) & title.isNull(), F.least(sure, F.lit(0.6))).otherwise(sure)
     return F.struct(number.alias("form_number"), title.alias("title"), sure.alias("confidence"), (F.size(body) > 0).alias("has_text"))
@@ -48,8 +61,10 @@ def search_forms(queries: DataFrame, forms: DataFrame, stopwords: tuple[str, ...
     held = F.array_distinct(F.concat(F.array(key("n:", F.col("form_number").cast("string"))), F.when(F.length("__h") > 0, grams).otherwise(F.array().cast("array<string>")), F.transform("__t", lambda w: key("w:", w))))
     met = q.select("*", F.explode(F.array_distinct(F.array_compact(asked))).alias("__k")).join(f.select("*", F.explode(held).alias("__k")), "__k").drop("__k")
     distinct = F.array_distinct("__w")
-    places = F.transform("__w", lambda w: F.array_position("__t", w))
-    ordered = F.array_sort(places) == places
+    # Each word is looked for after the one before it; -1 once one is missing there.
+    rest = lambda at: F.slice(F.col("__t"), at + 1, F.size("__t"))
+    step = lambda at, w: F.when(at < 0, at).when(F.array_contains(rest(F.greatest(at, F.lit(0))), w), at + F.array_position(rest(F.greatest(at, F.lit(0))), w).cast("int")).otherwise(-1)
+    ordered = F.aggregate("__w", F.lit(0), step) >= 0
     score = (
         F.when(F.col("__q") == F.col("form_number").cast("string"), 1_000_000).when(F.contains("__h", "__q"), 500_000)
         .when((F.size(distinct) > 0) & (F.size(F.array_except(distinct, "__t")) == 0), F.size(distinct) * 100 + F.when(ordered, 50).otherwise(0))
@@ -76,9 +91,30 @@ def retry_delay(attempt: Column, retry_after: Column, base: float = 0.5, most: f
     return F.least(F.coalesce(retry_after, F.lit(base) * F.pow(F.lit(2.0), attempt - 1)), F.lit(most))
 
 
-def redacted(fields: Column) -> Column:
-    """A map with the values of secret keys hidden."""
-    return F.transform_values(fields, lambda k, v: F.when(F.lower(k).rlike("|".join(SECRET_MARKS)), "[redacted]").otherwise(v))
+def _secret(name: str) -> bool:
+    return any(m in name.lower() for m in SECRET_MARKS)
+
+
+def redacted(value: Column, kind: T.DataType) -> Column:
+    """A value without the secrets in it: those of secret keys of maps and structs, at any depth, and texts already masked."""
+    if isinstance(kind, T.MapType):
+        inner = lambda k, v: redacted(v, kind.valueType)
+        if isinstance(kind.valueType, T.StringType):
+            inner = lambda k, v: F.when(F.lower(k).rlike("|".join(SECRET_MARKS)), MASK).otherwise(redacted(v, kind.valueType))
+        return F.transform_values(value, inner)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: redacted(x, kind.elementType))
+    if isinstance(kind, T.StructType):
+        fields = [(F.lit(MASK) if _secret(f.name) else redacted(value[f.name], f.dataType)).alias(f.name) for f in kind.fields]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    if isinstance(kind, T.StringType):
+        return F.when(F.startswith(value, F.lit(MASKED)), MASK).otherwise(value)
+    return value
+
+
+def redact(df: DataFrame) -> DataFrame:
+    """All columns without secrets; a column of a secret name is masked as a whole."""
+    return df.select(*[(F.lit(MASK) if _secret(f.name) else redacted(F.col(f.name), f.dataType)).alias(f.name) for f in df.schema.fields])
 
 
 def refusal(sufficient: Column, answer: Column, n_citations: Column, echoed: Column) -> Column:
@@ -111,3 +147,38 @@ def session_fused(dense: DataFrame, lexical: DataFrame, by: list[str], key: str
     own = Window.partitionBy(*by)
     ranked = fused.withColumn("__n", F.sum("__d").over(own)).withColumn("rank", F.row_number().over(own.orderBy(F.desc("score"), key)).cast("long"))
     return ranked.where("__n = 0 or rank <= __n").select(*by, key, "score", "rank")
+
+
+#: Bounds of an upload.
+NAME_LENGTH = 255
+
+
+def upload_error(filename: Column, content: Column, content_type: Column, max_bytes: int, types: tuple[str, ...] = ("application/pdf",)) -> Column:
+    """The code of the first rule that an upload breaks, null if none: name, emptiness, size, type, extension, first bytes."""
+    bad_name = filename.isNull() | (filename == "") | (F.length(filename) > NAME_LENGTH) | filename.rlike(r"[\x00-\x1f]")
+    size = F.octet_length(content)
+    return (
+        F.when(bad_name, "INVALID_FILENAME").when(content.isNull() | (size == 0), "EMPTY_FILE").when(size > max_bytes, "FILE_TOO_LARGE")
+        .when(~F.coalesce(content_type, F.lit("")).isin(*types), "UNSUPPORTED_TYPE").when(~F.lower(filename).endswith(".pdf"), "UNSUPPORTED_TYPE")
+        .when(F.substring(content, 1, 5) != F.lit(b"%PDF-"), "INVALID_PDF")
+    )
+
+
+def form_pages(pages: DataFrame, first: int, last: int) -> DataFrame:
+    """The pages (page) of a range; the job fails where the source ends before it."""
+    end = pages.agg(F.max("page").alias("__end"))
+    guarded = F.when(F.col("__end") < last, F.raise_error(F.concat(F.lit("pages end at "), F.col("__end").cast("string")))).otherwise(F.col("page"))
+    return pages.crossJoin(F.broadcast(end)).withColumn("page", guarded).drop("__end").where(F.col("page").between(first, last))
+
+
+def ocr_capped(forms: DataFrame, pages: DataFrame, by: list[str], most: float = 0.6) -> DataFrame:
+    """Forms with a page that was read by OCR: confidence ``most`` or less, and to be reviewed.
+
+    ``pages`` has (by, page, ocr); a form spans start_page to end_page.
+    """
+    p = pages.where("ocr").select(*by, "page").distinct()
+    hit = forms.select(*by, "form_number", F.explode(F.sequence("start_page", "end_page")).alias("page")).join(p, [*by, "page"]).select(*by, "form_number").distinct()
+    out = forms.join(hit.withColumn("__ocr", F.lit(True)), [*by, "form_number"], "left").withColumn("__ocr", F.coalesce("__ocr", F.lit(False)))
+    return out.withColumn("confidence", F.when(F.col("__ocr"), F.least("confidence", F.lit(most))).otherwise(F.col("confidence"))).withColumn(
+        "needs_review", F.col("needs_review") | F.col("__ocr")
+    ).drop("__ocr")

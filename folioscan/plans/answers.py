@@ -216,7 +216,7 @@ def hybrid_provenance(spark, d):
     SELECT query_id, vec_id, rank, greatest(0.0, least(1.0, round((score - 0.48) / 0.12, 6)))::DOUBLE AS band FROM k WHERE rank <= 10""")
 def relevance_band(spark, d):
     band = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round((F.col("score") - 0.48) / 0.12, 6)))
-    return index.top_k(r._cosine(spark, d), 10, key="vec_id").select("query_id", "vec_id", "rank", band.alias("band"))
+    return r._cosine(spark, d, 10).where("score > 0").select("query_id", "vec_id", "rank", band.alias("band"))
 
 
 @query("mrr", r._RRF + f""", {r._EXPECT}, rs AS (SELECT 'sparse' AS config, query_id, doc_id, rank FROM ({r._TOP.format('bm', 10)}) UNION ALL SELECT 'hybrid', query_id, doc_id, rank FROM k WHERE rank <= 10),

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folioscan.functions import legal, text
-from folioscan.operators import evaluation, grounding, ranking, sessions, structure
+from folioscan.operators import evaluation, grounding, ranking, sessions, structure, workflow
 from folioscan.plans.retrieval import table
 from folioscan.sources import tables
 from folioscan.streaming import state
@@ -188,11 +188,6 @@ def chunk_sections(spark, d):
     return structure.chunk_sections(blocks, ["doc_id"]).select("doc_id", "part", F.md5("text").alias("digest"), "subsection", "has_proviso")
 
 
-@query("chunk_pages")
-def chunk_pages(spark, d):
-    return structure.chunk_pages(table(spark, d, "documents"))
-
-
 @query("forms_group", """WITH p AS (SELECT l_orderkey AS src, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice) AS idx,
       CASE WHEN l_returnflag <> 'N' THEN l_partkey % 50 END AS num, CASE WHEN l_returnflag = 'R' THEN l_linestatus END AS title, CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE 0.6::DOUBLE END AS conf,
       l_linenumber % 4 <> 0 AS has_text FROM lineitem),
@@ -326,15 +321,17 @@ def retrieved_sections(spark, d):
     return table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("query_id"), (F.col("l_partkey") % 50).alias("section")).agg(F.min("l_linenumber").alias("rank"))
 
 
-@query("upload_validation", r"""SELECT page_id, CASE WHEN length(url) > 60 THEN 'FILENAME_TOO_LONG' WHEN regexp_matches(url, '[\x00-\x1f]') THEN 'FILENAME_INVALID' WHEN html IS NULL OR html = '' THEN 'EMPTY_FILE'
-    WHEN octet_length(encode(html)) > 20000 THEN 'FILE_TOO_LARGE' WHEN NOT starts_with(html, '<') THEN 'NOT_A_DOCUMENT' END AS error_code FROM pages""")
+@query("upload_validation", r"""SELECT page_id, i::INT AS form, CASE i WHEN 0 THEN NULL WHEN 1 THEN 'INVALID_FILENAME' WHEN 2 THEN 'INVALID_FILENAME' WHEN 3 THEN 'EMPTY_FILE' WHEN 4 THEN 'UNSUPPORTED_TYPE' WHEN 5 THEN 'UNSUPPORTED_TYPE'
+    WHEN 6 THEN 'INVALID_PDF' WHEN 7 THEN CASE WHEN octet_length(encode(html)) + 5 > 2000 THEN 'FILE_TOO_LARGE' END END AS error_code FROM pages, range(0, 8) r(i)""")
 def upload_validation(spark, d):
-    code = (
-        F.when(F.length("url") > 60, "FILENAME_TOO_LONG").when(F.col("url").rlike(r"[\x00-\x1f]"), "FILENAME_INVALID")
-        .when(F.col("html").isNull() | (F.col("html") == ""), "EMPTY_FILE").when(F.octet_length("html") > 20000, "FILE_TOO_LARGE")
-        .when(~F.col("html").startswith("<"), "NOT_A_DOCUMENT")
-    )
-    return table(spark, d, "pages").select("page_id", code.alias("error_code"))
+    pdf, kind = F.lit("%PDF-1"), F.lit("application/pdf")
+    forms = [
+        (F.lit("a.PDF"), pdf, kind), (F.lpad(F.lit("a.pdf"), 256, "x"), pdf, kind), (F.lit("a\n.pdf"), pdf, kind), (F.lit("a.pdf"), F.lit(""), kind), (F.lit("a.pdf"), pdf, F.lit("text/html")),
+        (F.lit("a.txt"), pdf, kind), (F.lit("a.pdf"), F.lit("<html>"), kind), (F.lit("a.pdf"), F.concat(F.lit("%PDF-"), "html"), kind),
+    ]
+    cases = F.array(*[F.struct(n.alias("n"), c.cast("binary").alias("c"), t.alias("t")) for n, c, t in forms])
+    p = table(spark, d, "pages").select("page_id", F.posexplode(cases).alias("form", "u"))
+    return p.select("page_id", "form", workflow.upload_error(F.col("u.n"), F.col("u.c"), F.col("u.t"), 2000).alias("error_code"))
 
 
 @query("source_fingerprint", "SELECT page_id, sha256(html) AS sha256 FROM pages")
@@ -391,13 +388,22 @@ def prometheus_text(spark, d):
     return tables.prometheus(n, "requests_total", ["event_type", "user"], "n")
 
 
-@query("run_summary", """SELECT event_type AS config, count(*) AS n_cases, round(avg(value), 6) AS mean_value, quantile_disc(value, 0.95) AS p95, count(DISTINCT user_id) AS users,
-    round(avg(CASE WHEN user_id % 2 = 0 THEN value END), 6) AS even_mean, min(value) AS least, max(value) AS most FROM events GROUP BY event_type""")
+@query("run_summary", """WITH c AS (SELECT *, CASE WHEN event_id % 3 = 0 THEN 'doc-' WHEN event_id % 3 = 1 THEN 'combined-' ELSE 'statute-' END || event_id AS case_id, user_id % 10 = 9 AS bad FROM events)
+    SELECT event_type AS config, count(*) AS cases, count(*) FILTER (bad) AS failed_cases, coalesce(string_agg(case_id, ',' ORDER BY case_id) FILTER (bad), '') AS failures,
+    round(avg(event_id % 2) FILTER (NOT bad), 9) AS recall_at_5, round(avg(event_id % 4) FILTER (NOT bad), 9) AS recall_at_10, round(avg(1.0::DOUBLE / (1 + event_id % 5)) FILTER (NOT bad), 9) AS mrr,
+    round(avg(CASE WHEN event_id % 2 = 0 THEN user_id % 3 END) FILTER (NOT bad), 9) AS citation_accuracy, round(avg(user_id % 2) FILTER (NOT bad), 9) AS refusal_correctness,
+    round(avg((event_id % 7 = 0)::INT) FILTER (NOT bad AND event_id % 3 < 2), 9) AS document_hit_rate, quantile_disc(value, 0.5) FILTER (NOT bad) AS retrieval_latency_p50,
+    quantile_disc(value, 0.95) FILTER (NOT bad) AS retrieval_latency_p95, quantile_disc(CASE WHEN event_type <> 'view' THEN value END, 0.5) FILTER (NOT bad) AS generation_latency_p50,
+    quantile_disc(CASE WHEN event_type <> 'view' THEN value END, 0.95) FILTER (NOT bad) AS generation_latency_p95 FROM c GROUP BY event_type""")
 def run_summary(spark, d):
-    v = F.col("value")
-    return table(spark, d, "events").groupBy(F.col("event_type").alias("config")).agg(
-        F.count("*").alias("n_cases"), F.round(F.avg(v), 6).alias("mean_value"), evaluation.nearest_rank("value", 0.95).alias("p95"), F.countDistinct("user_id").alias("users"),
-        F.round(F.avg(F.when(F.col("user_id") % 2 == 0, v)), 6).alias("even_mean"), F.min(v).alias("least"), F.max(v).alias("most"))
+    e, u, v = F.col("event_id"), F.col("user_id"), F.col("value")
+    kind = F.when(e % 3 == 0, "doc-").when(e % 3 == 1, "combined-").otherwise("statute-")
+    cases = table(spark, d, "events").select(
+        F.col("event_type").alias("config"), F.concat(kind, e.cast("string")).alias("case_id"), F.when(u % 10 == 9, "failed").alias("error"), (e % 2).cast("double").alias("recall_at_5"),
+        (e % 4).cast("double").alias("recall_at_10"), (1.0 / (1 + e % 5)).alias("reciprocal_rank"), F.when(e % 2 == 0, (u % 3).cast("double")).alias("citation_accuracy"),
+        (u % 2).cast("double").alias("refusal_correct"), (e % 7 == 0).alias("document_hit"), v.alias("retrieval_latency"), F.when(F.col("event_type") != "view", v).alias("generation_latency"),
+    )
+    return evaluation.run_summary(cases)
 
 
 @query("cost_rollup", "SELECT role, sum(length(text))::BIGINT AS units, round(sum(length(text)) / 1000.0::DOUBLE * 0.002, 6) AS cost FROM conversations GROUP BY role")

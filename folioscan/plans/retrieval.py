@@ -108,21 +108,21 @@ c AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, q.label AS q_label, round(
       FROM v JOIN v q ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id)"""
 
 
-def _cosine(spark, d, *extra: str) -> DataFrame:
+def _cosine(spark, d, k: int) -> DataFrame:
     v = table(spark, d, "embeddings")
     q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    return ranking.cosine_scores(q, v)
+    return ranking.cosine_topk(q, v, k)
 
 
 @query("cosine_topk", f"""WITH {_COS} SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
     FROM c WHERE score > 0) WHERE rank <= 10""")
 def cosine_topk(spark, d):
-    return index.top_k(_cosine(spark, d), 10, key="vec_id")
+    return _cosine(spark, d, 10).where("score > 0")
 
 
 @query("max_similarity", f"WITH {_COS} SELECT query_id, max(score) AS best, least(1.0, greatest(0.0, round((max(score) - 0.48) / 0.12, 6)))::DOUBLE AS band FROM c GROUP BY query_id")
 def max_similarity(spark, d):
-    best = _cosine(spark, d).groupBy("query_id").agg(F.round(F.max("score"), 6).alias("best"))
+    best = _cosine(spark, d, 1).select("query_id", F.col("score").alias("best"))
     return best.withColumn("band", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round((F.col("best") - 0.48) / 0.12, 6))))
 
 

@@ -20,7 +20,8 @@ def query(name: str, sql: str):
 
 
 @query("inspect_pages", """SELECT o_orderkey, CASE WHEN o_orderkey % 4 IN (1, 2) THEN (o_custkey % 50)::INT END AS form_number,
-    CASE WHEN o_orderkey % 4 = 1 THEN o_orderpriority END AS title, CASE o_orderkey % 4 WHEN 0 THEN 0.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE WHEN 2 THEN 0.6::DOUBLE ELSE 1.0::DOUBLE END AS confidence,
+    CASE WHEN o_orderkey % 4 = 1 AND o_orderpriority NOT IN ('2-HIGH', '5-LOW') THEN o_orderpriority END AS title, CASE o_orderkey % 4 WHEN 0 THEN 0.0::DOUBLE
+    WHEN 1 THEN CASE WHEN o_orderpriority IN ('2-HIGH', '5-LOW') THEN 0.6::DOUBLE ELSE 1.0::DOUBLE END WHEN 2 THEN 0.6::DOUBLE ELSE 1.0::DOUBLE END AS confidence,
     o_orderkey % 4 <> 0 AS has_text FROM orders""")
 def inspect_pages(spark, d):
     head = F.concat(F.lit("FORM No. "), (F.col("o_custkey") % 50).cast("string"))
@@ -61,11 +62,15 @@ def retry_delay(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", workflow.retry_delay(F.col("l_linenumber"), asked).alias("delay"))
 
 
-@query("redact_fields", "SELECT event_id, event_type AS kind, '[redacted]' AS api_token FROM events")
+@query("redact_fields", """SELECT event_id, event_type AS kind, '***redacted***' AS a, '***redacted***' AS b, '***redacted***' AS c, user_id::VARCHAR AS d, '***redacted***' AS my_password,
+    CASE WHEN event_id % 2 = 0 THEN '***redacted***' ELSE 'plain' END AS note FROM events""")
 def redact_fields(spark, d):
-    fields = F.create_map(F.lit("kind"), F.col("event_type"), F.lit("Api_Token"), F.coalesce("props", F.lit("")))
-    hidden = table(spark, d, "events").select("event_id", workflow.redacted(fields).alias("m"))
-    return hidden.select("event_id", F.col("m")["kind"].alias("kind"), F.col("m")["Api_Token"].alias("api_token"))
+    fields = F.create_map(F.lit("Api_Token"), F.lit("x"), F.lit("APIKEY"), F.lit("y"), F.lit("user"), F.col("user_id").cast("string"))
+    nested = F.array(F.struct(F.struct(F.lit("z").alias("db_credential"), F.lit(1).alias("n")).alias("inner")))
+    note = F.when(F.col("event_id") % 2 == 0, "**********").otherwise("plain")
+    e = table(spark, d, "events").select("event_id", F.col("event_type").alias("kind"), fields.alias("m"), nested.alias("s"), F.lit("pw").alias("my_password"), note.alias("note"))
+    m = F.col("m")
+    return workflow.redact(e).select("event_id", "kind", m["Api_Token"].alias("a"), m["APIKEY"].alias("b"), F.col("s")[0]["inner"]["db_credential"].alias("c"), m["user"].alias("d"), "my_password", "note")
 
 
 @query("refusal_ladder", """SELECT conv_id, turn, CASE WHEN role = 'system' THEN 'insufficient_evidence' WHEN turn % 5 = 4 THEN 'prompt_echo' WHEN trim(text) = '' THEN 'empty_answer'

@@ -7,6 +7,7 @@ forms keep the same state per key in the state store.
 
 from __future__ import annotations
 
+import re
 from collections import deque
 from collections.abc import Iterator
 
@@ -113,3 +114,100 @@ def request_metrics_stream(events: DataFrame, watermark: str = "10 minutes", win
         events.withWatermark("ts", watermark).groupBy(F.window("ts", window), "event_type")
         .agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     )
+
+
+class Visible:
+    """What of a streamed text may be shown: reasoning wrappers are left out, also where a tag comes in pieces.
+
+    The tail that may still become a tag is held back; ``rest`` gives it up at the end.
+    """
+
+    TAG = r"<\s*(/?)\s*(think|thinking|reasoning)\s*>"
+    #: The beginning of a tag, up to every length.
+    OPENED = r"<\s*/?\s*[a-z]{0,9}\s*$"
+
+    def __init__(self, held: str = "", inside: bool = False):
+        self.held, self.inside = held, inside
+
+    def push(self, delta: str) -> str:
+        text, shown, at = self.held + delta, "", 0
+        for m in re.finditer(self.TAG, text, re.I):
+            closes = bool(m.group(1))
+            if closes != self.inside:
+                continue
+            shown += "" if self.inside else text[at : m.start()]
+            at, self.inside = m.end(), not closes
+        tail = re.search(self.OPENED, text[at:], re.I)
+        names = ("think", "thinking", "reasoning")
+        word = re.sub(r"[^a-z]", "", tail.group().lower()) if tail else ""
+        cut = at + tail.start() if tail and any(n.startswith(word) for n in names) else len(text)
+        self.held = text[cut:]
+        return shown + ("" if self.inside else text[at:cut])
+
+    def rest(self) -> str:
+        return "" if self.inside else self.held
+
+
+def visible_deltas(deltas: DataFrame) -> DataFrame:
+    """(stream, seq, shown) of (stream, seq, delta): what each piece of an answer adds to what is shown, in order.
+
+    A stream's pieces stand together in one partition and run through it; what is held is a tag's length.
+    """
+    ship(deltas.sparkSession)
+    kind = deltas.schema["stream"].dataType.simpleString()
+    last = F.row_number().over(Window.partitionBy("stream").orderBy(F.desc("seq"))) == 1
+    ordered = deltas.withColumn("last", last).repartition("stream").sortWithinPartitions("stream", "seq")
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        view = Visible()
+        for f in frames:
+            shown = []
+            for delta, last in zip(f["delta"], f["last"]):
+                shown.append(view.push(delta or "") + (view.rest() if last else ""))
+                view = Visible() if last else view
+            yield f.assign(shown=shown)[["stream", "seq", "shown"]]
+
+    return ordered.select("stream", "seq", "delta", "last").mapInPandas(fold, f"stream {kind}, seq {deltas.schema['seq'].dataType.simpleString()}, shown string")
+
+
+def visible_stream(deltas: DataFrame) -> DataFrame:
+    """The same on a stream of (stream, seq, delta): pieces of a batch in order of seq, a tag's beginning kept as state."""
+    ship(deltas.sparkSession)
+    kind = deltas.schema["stream"].dataType.simpleString()
+
+    def fold(key, frames, kept: GroupState):
+        view = Visible(*(kept.get if kept.exists else ("", False)))
+        rows = sorted((r for f in frames for r in f[["seq", "delta"]].itertuples(index=False)), key=lambda r: r[0])
+        shown = [(key[0], int(seq), view.push(delta or "")) for seq, delta in rows]
+        kept.update((view.held, view.inside))
+        yield pd.DataFrame(shown, columns=["stream", "seq", "shown"])
+
+    return deltas.groupBy("stream").applyInPandasWithState(fold, f"stream {kind}, seq long, shown string", "held string, inside boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def session_stream(changes: DataFrame, ttl: float) -> DataFrame:
+    """(session_id, n_documents, expired) of a stream of (session_id, document_id, ts): a session's documents, gone ``ttl`` seconds after its last write.
+
+    ``changes`` carries a watermark on ts; a session that expires gives one last row.
+    """
+    ship(changes.sparkSession)
+    kind = changes.schema["session_id"].dataType.simpleString()
+
+    def fold(key, frames, kept: GroupState):
+        if kept.hasTimedOut:
+            n = len(kept.get[0])
+            kept.remove()
+            yield pd.DataFrame({"session_id": [key[0]], "n_documents": [n], "expired": [True]})
+            return
+        held, newest = (set(kept.get[0]), kept.get[1]) if kept.exists else (set(), 0)
+        for f in frames:
+            held |= set(f["document_id"].astype(str))
+            newest = max(newest, int(f["ts"].max().timestamp() * 1000))
+        kept.update((sorted(held), newest))
+        # A watermark that has passed the end already lets the session go with the next batch.
+        kept.setTimeoutTimestamp(max(newest + int(ttl * 1000), kept.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"session_id": [key[0]], "n_documents": [len(held)], "expired": [False]})
+
+    return changes.groupBy("session_id").applyInPandasWithState(
+        fold, f"session_id {kind}, n_documents long, expired boolean", "documents array<string>, newest long", "append", GroupStateTimeout.EventTimeTimeout
+    )

@@ -170,3 +170,69 @@ def test_workflow_values(spark):
     asks = spark.createDataFrame([(1, "keep peace"), (2, "12"), (3, "the peace"), (4, "nothing here")], "query_id int, query string")
     got = {(r.query_id, r.form_number): r.score for r in workflow.search_forms(asks, forms).collect()}
     assert got == {(1, 1): 250, (2, 12): 1_000_000, (3, 1): 500_000, (3, 2): 150}
+
+
+def test_visible_text_is_the_same_however_it_is_cut():
+    whole = "a <think>x < y</think> b < c <Reasoning >lost< / reasoning> d <think"
+    want = "a  b < c  d <think"
+    for size in (1, 2, 3, 5, 8, 100):
+        view = state.Visible()
+        assert "".join(view.push(whole[i : i + size]) for i in range(0, len(whole), size)) + view.rest() == want
+
+
+def test_streams_keep_state(spark, tmp_path):
+    rows = [("s", 0, "a <thi"), ("s", 1, "nk>x</think"), ("s", 2, "> b")]
+    for i, row in enumerate(rows):
+        spark.createDataFrame([row], "stream string, seq long, delta string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("stream string, seq long, delta string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = (state.visible_stream(stream).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out")))
+    q.awaitTermination(180)
+    got = spark.read.parquet(str(tmp_path / "out")).orderBy("seq").collect()
+    assert "".join(r.shown for r in got) == "a  b"
+
+
+def test_session_expires(spark, tmp_path):
+    times = ["2024-01-01 00:00:00", "2024-01-01 00:00:30", "2024-01-01 01:00:00", "2024-01-01 02:00:00"]
+    for i, t in enumerate(times):
+        s = "a" if i < 2 else "b"
+        spark.sql(f"select '{s}' as session_id, 'd{i}' as document_id, timestamp '{t}' as ts").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("session_id string, document_id string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = (state.session_stream(stream.withWatermark("ts", "0 seconds"), 60.0).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c"))
+         .trigger(availableNow=True).start(str(tmp_path / "out")))
+    q.awaitTermination(180)
+    got = {(r.session_id, r.expired): r.n_documents for r in spark.read.parquet(str(tmp_path / "out")).orderBy("n_documents").collect()}
+    assert got[("a", False)] == 2 and got[("a", True)] == 2
+
+
+def test_pages_are_packed(spark):
+    from folioscan.operators.structure import _pieces
+
+    assert _pieces("a\n\nb", 10) == ["a\n\nb"]
+    assert _pieces("aaa\n\nbbb\n\ncccccc", 8) == ["aaa\n\nbbb", "cccccc"]
+    assert _pieces("One two. Three four. " + "x" * 25, 12) == ["One two.", "Three four.", "x" * 12, "x" * 12, "x"]
+
+
+def test_sinks(spark, tmp_path):
+    from folioscan.sources import tables
+
+    rows = [(f"c{i:03d}", "A", "BNS", None, None, str(i), None, None, None, "t" + str(i), False, False, False, 1, 1, "u", "x", [], False) for i in range(50)]
+    chunks = spark.createDataFrame(rows, tables.CHUNK)
+    vectors = chunks.select("chunk_id", F.array(F.lit(1.0), F.lit(2.0)).alias("embedding"))
+    facts = {"source": "s", "embedder": "e", "ingested_at": "now"}
+    search = lambda c, q: c.join(q, "text")
+    path = tables.replace_corpus(chunks, vectors, str(tmp_path), "one", spark.createDataFrame([("t7",)], "text string"), search, **facts)
+    points = spark.read.parquet(path + "/chunk_vectors")
+    assert [(r.id, r.payload.chunk_id) for r in points.orderBy("id").collect()] == [(i + 1, f"c{i:03d}") for i in range(50)]
+    manifest = spark.read.json(path + "/manifest").first()
+    assert (manifest.chunks, manifest.sections, manifest.acts) == (50, 50, ["BNS"])
+    with pytest.raises(ValueError):
+        tables.replace_corpus(chunks, vectors, str(tmp_path), "two", spark.createDataFrame([("none",)], "text string"), search, **facts)
+    assert spark.read.json(str(tmp_path / "_current")).first().current == "one"
+    cached = vectors.withColumn("text_sha256", F.lit("h"))
+    tables.write_vector_cache(cached, str(tmp_path / "cache"), "e1")
+    tables.write_vector_cache(cached.limit(3), str(tmp_path / "cache"), "e2")
+    assert tables.read_vector_cache(spark, str(tmp_path / "cache"), "e1").count() == 50 and tables.read_vector_cache(spark, str(tmp_path / "cache"), "e2").count() == 3
+    with pytest.raises(Exception, match="EMBEDDING_MISMATCH"):
+        tables.of_dimension(vectors, 3).count()
+    with pytest.raises(Exception, match="not safe"):
+        tables.upload_paths(spark.createDataFrame([("a", "../b")], "session_id string, document_id string"), "/x").collect()
