@@ -145,6 +145,25 @@ def test_lines_differ_beyond_a_words_start(spark):
     assert got == {i for i, _ in full_drops(enumerate(far + near))} == {len(far) + k for k in (1, 3, 5)}
 
 
+def test_line_hashes_are_those_of_all_shingles():
+    """Distinct hashes against sets of strings, minima against a minimum a line; parts that end within a line change nothing."""
+    rng = np.random.default_rng(3)
+    alphabet = list("ab c\u00e9\u4eca\U0001f600")
+    texts = ["x", "", "short", "exactly8", "abcabcabcabc", "z" * 40] + ["".join(rng.choice(alphabet, rng.integers(1, 300))) for _ in range(40)]
+    texts.append("".join(rng.choice(alphabet, 3 * lines.PART + 5)))
+    raw = [t.encode() for t in texts] + [b"\xff\xfe broken \xe4\xbb"]
+    sets = list(lines.line_hashes(raw))
+    assert len(sets) == len(raw)
+    shingles = [{t[i : i + 8] for i in range(max(1, len(t) - 7))} for t in texts]
+    assert [len(s) for s in sets[:-1]] == [len(s) for s in shingles]
+    for i, j in zip(rng.integers(0, len(texts), 300), rng.integers(0, len(texts), 300)):
+        assert len(np.intersect1d(sets[i], sets[j])) == len(shingles[i] & shingles[j])
+    masks = lines._MASKS[:5]
+    want = [[int(((s >> np.uint64(32)) ^ np.uint64(m >> 32)).min()) for m in masks] for s in sets]
+    assert lines.minima(raw, masks).tolist() == want
+    assert list(lines.line_hashes([])) == [] and lines.minima([], masks).shape == (0, 5)
+
+
 def test_lines_of_one_template(spark):
     rng = random.Random(6)
     w = lambda n: [" " + "".join(rng.choice("abcdefghijklmnop") for _ in range(9)) for _ in range(n)]
