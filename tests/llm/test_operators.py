@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from folioscan.llm import brown, components, decontaminate, langid, licenses, lines, mixture, neighbours, pii, quality, queries, simhash
+from folioscan.llm import brown, components, decontaminate, langid, licenses, line_numpy, line_rules, lines, mixture, neighbours, pii, quality, queries, simhash
 
 TABLES = "documents embeddings benchmark labels".split()
 
@@ -72,7 +72,8 @@ def test_targets_are_met(spark, data):
 
 # --- 2 lines
 
-def test_lines(spark):
+@pytest.mark.parametrize("native", [True, False])
+def test_lines(spark, native):
     rng = random.Random(1)
     w = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
     base = w(40)
@@ -80,18 +81,19 @@ def test_lines(spark):
     near[20] = "changed"
     texts = [(5, " ".join(base) + "\n\nonly here " + " ".join(w(5))), (2, " ".join(base) + "\n" + " ".join(base)), (9, " ".join(near)), (7, None), (8, ""), (2, "another text of two")]
     docs = spark.createDataFrame([(i, t, 0) for i, t in texts], "doc_id long, text string, n_chars int")
-    got = {(r.doc_id, r.text): r.n_chars for r in lines.dedup_lines(docs).collect()}
+    got = {(r.doc_id, r.text): r.n_chars for r in lines.dedup_lines(docs, native).collect()}
     want = {texts[0][1].split("\n", 1)[1], "", None, "another text of two", " ".join(base)}
     assert {t for _, t in got} == want and got[(2, " ".join(base))] == len(" ".join(base))
     assert len(got) == len(docs.collect())
 
 
-def test_lines_odd(odd, odd_rows, empty):
-    got = lines.dedup_report(odd)
+@pytest.mark.parametrize("native", [True, False])
+def test_lines_odd(odd, odd_rows, empty, native):
+    got = lines.dedup_report(odd, native)
     assert got.count() == len(odd_rows)
-    out = lines.dedup_lines(odd)
+    out = lines.dedup_lines(odd, native)
     assert out.columns == odd.columns and out.count() == len(odd_rows)
-    assert lines.dedup_report(empty).count() == 0
+    assert lines.dedup_report(empty, native).count() == 0
 
 
 def full_drops(rows):
@@ -125,13 +127,16 @@ def full_drops(rows):
     return drops
 
 
-def test_lines_against_full_shingles(spark, data, documents):
-    got = {(r.doc_id, j) for r in queries.op2_line_dedup(spark, data).collect() for j in r.dropped}
+@pytest.mark.parametrize("native", [True, False])
+def test_lines_against_full_shingles(spark, data, documents, native):
+    report = lines.dedup_report(spark.read.parquet(f"{data}/documents.parquet"), True) if native else queries.op2_line_dedup(spark, data)
+    got = {(r.doc_id, j) for r in report.collect() for j in r.dropped}
     want = full_drops([(i, t) for i, t, _ in documents])
     assert not got - want and len(want - got) <= 0.02 * len(want)
 
 
-def test_lines_differ_beyond_a_words_start(spark):
+@pytest.mark.parametrize("native", [True, False])
+def test_lines_differ_beyond_a_words_start(spark, native):
     rng = random.Random(5)
     pick = lambda a, n: "".join(rng.choice(a) for _ in range(n))
     cjk = "".join(map(chr, range(0x4E00, 0x5200)))
@@ -141,7 +146,7 @@ def test_lines_differ_beyond_a_words_start(spark):
     url, han, long = f"https://example.org/{pick('qrstuvw', 120)}", pick(cjk, 90), " ".join(pick("abcdefghij", 14) for _ in range(12))
     near = [url, url[:-1] + "x", han, "新" + han, long, long + "s"]
     docs = spark.createDataFrame(list(enumerate(far + near)), "doc_id long, text string")
-    got = {r.doc_id for r in lines.dedup_report(docs).where("n_kept < n_lines").collect()}
+    got = {r.doc_id for r in lines.dedup_report(docs, native).where("n_kept < n_lines").collect()}
     assert got == {i for i, _ in full_drops(enumerate(far + near))} == {len(far) + k for k in (1, 3, 5)}
 
 
@@ -150,21 +155,22 @@ def test_line_hashes_are_those_of_all_shingles():
     rng = np.random.default_rng(3)
     alphabet = list("ab c\u00e9\u4eca\U0001f600")
     texts = ["x", "", "short", "exactly8", "abcabcabcabc", "z" * 40] + ["".join(rng.choice(alphabet, rng.integers(1, 300))) for _ in range(40)]
-    texts.append("".join(rng.choice(alphabet, 3 * lines.PART + 5)))
+    texts.append("".join(rng.choice(alphabet, 3 * line_numpy.PART + 5)))
     raw = [t.encode() for t in texts] + [b"\xff\xfe broken \xe4\xbb"]
-    sets = list(lines.line_hashes(raw))
+    sets = list(line_numpy.line_hashes(raw))
     assert len(sets) == len(raw)
     shingles = [{t[i : i + 8] for i in range(max(1, len(t) - 7))} for t in texts]
     assert [len(s) for s in sets[:-1]] == [len(s) for s in shingles]
     for i, j in zip(rng.integers(0, len(texts), 300), rng.integers(0, len(texts), 300)):
         assert len(np.intersect1d(sets[i], sets[j])) == len(shingles[i] & shingles[j])
-    masks = lines._MASKS[:5]
+    masks = line_rules.MASKS[:5]
     want = [[int(((s >> np.uint64(32)) ^ np.uint64(m >> 32)).min()) for m in masks] for s in sets]
-    assert lines.minima(raw, masks).tolist() == want
-    assert list(lines.line_hashes([])) == [] and lines.minima([], masks).shape == (0, 5)
+    assert line_numpy.minima(raw, masks).tolist() == want
+    assert list(line_numpy.line_hashes([])) == [] and line_numpy.minima([], masks).shape == (0, 5)
 
 
-def test_lines_of_one_template(spark):
+@pytest.mark.parametrize("native", [True, False])
+def test_lines_of_one_template(spark, native):
     rng = random.Random(6)
     w = lambda n: [" " + "".join(rng.choice("abcdefghijklmnop") for _ in range(9)) for _ in range(n)]
     frame = "".join(w(20))
@@ -178,7 +184,7 @@ def test_lines_of_one_template(spark):
             rows.append((1000 + k, frame + "".join(own)))
     want = full_drops(rows)
     assert {i for i, _ in want} == {1000 + k for k in range(0, 400, 4)}
-    got = lines.dedup_report(spark.createDataFrame(rows, "doc_id long, text string")).where("n_kept < n_lines")
+    got = lines.dedup_report(spark.createDataFrame(rows, "doc_id long, text string"), native).where("n_kept < n_lines")
     assert {r.doc_id for r in got.collect()} == {i for i, _ in want}
 
 
