@@ -29,7 +29,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Built-in functions alone don't meet this query's CPU budget (README).
+    # Built-in functions alone take nearly twice this query's CPU budget (README).
     return _lines.dedup_report(_table(spark, sf_dir, "documents"), native=False)
 
 
