@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscan.llm import bpe as _bpe
 from folioscan.llm import brown as _brown
 from folioscan.llm import decontaminate as _decontaminate
 from folioscan.llm import langid as _langid
+from folioscan.llm import lexical as _lexical
 from folioscan.llm import licenses as _licenses
 from folioscan.llm import lines as _lines
 from folioscan.llm import mixture as _mixture
+from folioscan.llm import negatives as _negatives
 from folioscan.llm import neighbours as _neighbours
 from folioscan.llm import pii as _pii
 from folioscan.llm import quality as _quality
@@ -70,6 +73,27 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    encoded = _bpe.encode(_table(spark, sf_dir, "documents"), path, pattern)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return _bpe.decode(encoded, path, ("doc_id", "ids")).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label"))
+    return _negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_line_dedup": op2_line_dedup,
@@ -81,6 +105,9 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_nearest": op9_nearest,
     "op10_decontaminate": op10_decontaminate,
+    "op11_byte_bpe": op11_byte_bpe,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 OP1_SQL = r"""
@@ -142,7 +169,40 @@ FROM d LEFT JOIN (SELECT r, count(*) AS n, min(pos) AS lo, max(pos) AS hi, strin
                   FROM h GROUP BY r) USING (r)
 """
 
+OP12_SQL = r"""
+WITH low AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS u, 'abcdefghijklmnopqrstuvwxyz' AS v),
+d AS (SELECT row_number() OVER () AS r, doc_id,
+             regexp_extract_all(translate(coalesce(text, ''), u, v), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents, low),
+c AS (SELECT count(*)::BIGINT AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d WHERE len(w) > 0),
+p AS (SELECT r, doc_id, n, term, count(*)::BIGINT AS tf
+      FROM (SELECT r, doc_id, len(w)::BIGINT AS n, unnest(w) AS term FROM d) GROUP BY ALL),
+f AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS weight
+      FROM (SELECT term, count(*)::BIGINT AS df FROM p GROUP BY term), c),
+q AS (SELECT item_id, term, count(*)::BIGINT AS qtf FROM (
+        SELECT item_id, unnest(regexp_extract_all(translate(text, u, v), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM (SELECT DISTINCT item_id, text FROM benchmark), low) GROUP BY ALL),
+s AS (SELECT item_id, r, doc_id, sum(qtf * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))))::BIGINT AS score
+      FROM q JOIN p USING (term) JOIN f USING (term), c GROUP BY item_id, r, doc_id)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST, r) AS rank FROM s WHERE score > 0) WHERE rank <= 20
+"""
+
+OP13_SQL = """
+WITH e AS (SELECT DISTINCT vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END)::BIGINT AS label, v FROM (
+             SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+             WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+               AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0)),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+      FROM e a JOIN e b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, rank::INT AS rank, id AS negative_id, positive_score, score AS negative_score FROM (
+  SELECT p.*, s.id, s.score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS rank
+  FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+WHERE rank <= 10
+"""
+
 #: The base columns of op7 only; what the automaton adds is tested against brute force.
 BASE_SQL = {"op7_license_scan": OP7_SQL}
 
-ORACLE_SQL = {"op1_mix_sources": OP1_SQL, "op10_decontaminate": OP10_SQL}
+ORACLE_SQL = {"op1_mix_sources": OP1_SQL, "op10_decontaminate": OP10_SQL, "op12_ranked_search": OP12_SQL, "op13_hard_negatives": OP13_SQL}
