@@ -8,7 +8,7 @@ Each match of a pattern (a pre-token) is encoded separately; a pre-token that is
 Decoding maps ids back to their pieces and characters back to bytes.
 
 Texts go through Arrow batches in the task that reads them, so nothing is shuffled and a lost executor costs
-its tasks only. A task holds the vocabulary, one batch, ``CHUNK`` pre-tokens of one text and a memo of at most
+its tasks only. A task holds the vocabulary, one batch, about ``CHUNK`` pre-tokens and a memo of at most
 ``MEMO`` characters of pre-tokens; what falls out of the memo is encoded again.
 
 Cases: a null text is an empty one and has no ids; bytes that are not UTF-8 are read as U+FFFD; repeated
@@ -79,41 +79,90 @@ def serialise(tokens: Sequence[bytes]) -> bytes:
 
 
 class Codec:
-    """A serialised model at work in a task."""
+    """A serialised model at work in a task.
+
+    The memo gives each pre-token a number, and for each number the place and count of its ids in one flat array,
+    so the ids of many pre-tokens are gathered at once.
+    """
 
     def __init__(self, model: bytes, pattern: str):
         self.processor = SentencePieceProcessor(model_proto=model)
         pieces = [self.processor.id_to_piece(i) for i in range(self.processor.get_piece_size() - 1)]
         self.ids = {piece: i for i, piece in enumerate(pieces)}
-        self.find = regex.compile(pattern).finditer
-        self.memo: dict[str, tuple[int, ...]] = {}
-        self.held = 0
+        self.pattern = regex.compile(pattern)
+        self.forget()
+
+    def forget(self) -> None:
+        self.memo: dict[str, int] = {}
+        self.held = self.used = 0
+        self.start, self.count, self.flat = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.int32)
 
     def learn(self, fresh: list[str]) -> None:
-        """Adds pre-tokens to the memo."""
+        """Adds pre-tokens to the memo; arrays grow by doubling."""
         pieces = [to_piece(t.encode()) for t in fresh]
         rest = [i for i, p in enumerate(pieces) if p not in self.ids]
-        found = [(self.ids.get(p, -1),) for p in pieces]
+        found = [[self.ids.get(p, -1)] for p in pieces]
         for i, ids in zip(rest, self.processor.encode([pieces[i] for i in rest], out_type=int, num_threads=1)):
-            found[i] = tuple(ids)
-        self.memo.update(zip(fresh, found))
-        self.held += sum(map(len, fresh))
+            found[i] = ids
+        n, counts = len(self.memo), np.fromiter(map(len, found), np.int64, len(found))
+        ends = self.used + np.cumsum(counts)
+        room = lambda a, size: a if size <= len(a) else np.concatenate([a, np.zeros(max(size, 2 * len(a)) - len(a), a.dtype)])
+        self.start, self.count, self.flat = room(self.start, n + len(fresh)), room(self.count, n + len(fresh)), room(self.flat, int(ends[-1]))
+        self.start[n : n + len(fresh)], self.count[n : n + len(fresh)] = ends - counts, counts
+        self.flat[self.used : ends[-1]] = np.fromiter(chain.from_iterable(found), np.int32)
+        self.memo.update(zip(fresh, range(n, n + len(fresh))))
+        self.used, self.held = int(ends[-1]), self.held + sum(map(len, fresh))
+
+    def _gathered(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens one after the other, and how many each has."""
+        distinct = set(tokens)
+        if fresh := [t for t in distinct if t not in self.memo]:
+            if self.held > MEMO:
+                self.forget()
+                fresh = list(distinct)
+            self.learn(fresh)
+        numbers = np.fromiter(map(self.memo.__getitem__, tokens), np.int64, len(tokens))
+        count = self.count[numbers]
+        before = np.cumsum(count) - count
+        at = np.repeat(self.start[numbers] - before, count) + np.arange(int(count.sum()))
+        return self.flat[at], count
+
+    def _portions(self, texts: list[str]):
+        """(pre-tokens, how many of them each text has) of ``CHUNK`` pre-tokens or somewhat more; a long text comes in several."""
+        tokens, ends = [], []
+        for i, text in enumerate(texts):
+            if len(text) <= CHUNK:
+                tokens += self.pattern.findall(text)
+                ends.append((i, len(tokens)))
+            else:
+                for some in batched(map(regex.Match.group, self.pattern.finditer(text)), CHUNK):
+                    tokens += some
+                    ends.append((i, len(tokens)))
+                    yield tokens, ends
+                    tokens, ends = [], []
+            if len(tokens) >= CHUNK:
+                yield tokens, ends
+                tokens, ends = [], []
+        if ends:
+            yield tokens, ends
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The texts' ids one after the other, and how many each text has."""
+        parts, sizes = [np.zeros(0, np.int32)], np.zeros(len(texts), np.int64)
+        for tokens, ends in self._portions(texts):
+            ids, count = self._gathered(tokens)
+            parts.append(ids)
+            upto = np.concatenate([[0], np.cumsum(count)])
+            at = np.array([0, *(e for _, e in ends)])
+            np.add.at(sizes, [i for i, _ in ends], np.diff(upto[at]))
+        return np.concatenate(parts), sizes
 
     def encode(self, text: str) -> np.ndarray:
-        parts = []
-        for tokens in batched(map(regex.Match.group, self.find(text)), CHUNK):
-            if fresh := list(set(tokens) - self.memo.keys()):
-                if self.held > MEMO:
-                    self.memo, self.held = {}, 0
-                    fresh = list(set(tokens))
-                self.learn(fresh)
-            parts.append(np.fromiter(chain.from_iterable(map(self.memo.__getitem__, tokens)), np.int32))
-        return np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        return self.encode_all([text])[0]
 
 
-def _lists(parts: list[np.ndarray]) -> pa.ListArray:
-    offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(parts or [np.zeros(0, np.int32)]), pa.int32()))
+def _lists(ids: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(ids, pa.int32()))
 
 
 def encode(texts: DataFrame, path: str, pattern: str, keep: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
@@ -122,7 +171,7 @@ def encode(texts: DataFrame, path: str, pattern: str, keep: Sequence[str] = ("do
 
     def setup():
         codec = Codec(model, pattern)
-        return lambda rows, part: {"ids": _lists([codec.encode(t.decode("utf-8", "replace")) for t in rows])}
+        return lambda rows, part: {"ids": _lists(*codec.encode_all([t.decode("utf-8", "replace") for t in rows]))}
 
     return map_texts(texts, keep, setup, "ids array<int>", text=text)
 
