@@ -36,7 +36,7 @@ from sentencepiece import sentencepiece_model_pb2 as pb
 from folioscan.llm.common import map_texts
 from folioscan.shipping import ship
 
-MEMO = 1 << 22
+MEMO = 1 << 21
 CHUNK = 1 << 16
 SHIFT = 256
 _UP = {b: b + SHIFT for b in range(256)}
@@ -89,6 +89,7 @@ class Codec:
         self.processor = SentencePieceProcessor(model_proto=model)
         pieces = [self.processor.id_to_piece(i) for i in range(self.processor.get_piece_size() - 1)]
         self.ids = {piece: i for i, piece in enumerate(pieces)}
+        self.bytes = [to_bytes(p) for p in pieces]
         self.pattern = regex.compile(pattern)
         self.forget()
 
@@ -160,20 +161,40 @@ class Codec:
     def encode(self, text: str) -> np.ndarray:
         return self.encode_all([text])[0]
 
+    def decode(self, ids: np.ndarray) -> bytes | None:
+        """The bytes that ids stand for; null if one of them is null or none of the vocabulary's."""
+        listed = ids.tolist()
+        if listed and (None in listed or min(listed) < 0 or max(listed) >= len(self.bytes)):
+            return None
+        return b"".join(map(self.bytes.__getitem__, listed))
+
 
 def _lists(ids: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(ids, pa.int32()))
 
 
-def encode(texts: DataFrame, path: str, pattern: str, keep: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
-    """``keep`` and ``ids array<int>`` of every row's text, by the rank file at ``path``, which the driver reads."""
+def encode(texts: DataFrame, path: str, pattern: str, keep: Sequence[str] = ("doc_id",), text: str = "text", decoded: bool = False) -> DataFrame:
+    """``keep`` and ``ids array<int>`` of every row's text, by the rank file at ``path``, which the driver reads.
+
+    With ``decoded`` also the bytes that these ids decode to: a round trip in the same Python process, where ``decode`` of
+    the result would hold the vocabulary in a second one.
+    """
     model = serialise(read_ranks(path))
 
     def setup():
         codec = Codec(model, pattern)
-        return lambda rows, part: {"ids": _lists(*codec.encode_all([t.decode("utf-8", "replace") for t in rows]))}
 
-    return map_texts(texts, keep, setup, "ids array<int>", text=text)
+        def compute(rows, part):
+            ids, sizes = codec.encode_all([t.decode("utf-8", "replace") for t in rows])
+            out = {"ids": _lists(ids, sizes)}
+            if decoded:
+                ends = np.cumsum(sizes)
+                out["decoded"] = [codec.decode(ids[b - n : b]) for b, n in zip(ends, sizes)]
+            return out
+
+        return compute
+
+    return map_texts(texts, keep, setup, "ids array<int>, decoded binary" if decoded else "ids array<int>", rows=64, text=text)
 
 
 def decode(rows: DataFrame, path: str, keep: Sequence[str] = ("doc_id",), ids: str = "ids") -> DataFrame:
@@ -186,16 +207,12 @@ def decode(rows: DataFrame, path: str, keep: Sequence[str] = ("doc_id",), ids: s
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        arrow = to_arrow_schema(out)
-        processor = SentencePieceProcessor(model_proto=model)
-        pieces = [to_bytes(processor.id_to_piece(i)) for i in range(processor.get_piece_size() - 1)]
+        arrow, codec = to_arrow_schema(out), Codec(model, "")
         for batch in batches:
-            found = []
-            for row in batch.column("__ids"):
-                got = row.values.to_numpy(zero_copy_only=False) if row.is_valid and len(row.values) else np.zeros(0, np.int32)
-                known = not len(got) or got.dtype.kind == "i" and got.min() >= 0 and got.max() < len(pieces)
-                found.append(b"".join(map(pieces.__getitem__, got.tolist())) if known else None)
-            arrays = [batch.column(n).cast(arrow.field(n).type) for n in names] + [pa.array(found, arrow.field("decoded").type)]
-            yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                found = [codec.decode(np.asarray(x if x is not None else [], object)) for x in part.column("__ids").to_pylist()]
+                arrays = [part.column(n).cast(arrow.field(n).type) for n in names] + [pa.array(found, arrow.field("decoded").type)]
+                yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
     return rows.select(*names, F.col(ids).cast("array<int>").alias("__ids")).mapInArrow(run, out)

@@ -77,9 +77,8 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = _bpe.encode(_table(spark, sf_dir, "documents"), path, pattern)
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return _bpe.decode(encoded, path, ("doc_id", "ids")).select(
+    return _bpe.encode(_table(spark, sf_dir, "documents"), path, pattern, decoded=True).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
 
