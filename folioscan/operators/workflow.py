@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folioscan.functions.language import ends_in_refusal
 from folioscan.functions.text import slug
 
 #: The stages of an upload, in order.
@@ -118,10 +119,10 @@ def redact(df: DataFrame) -> DataFrame:
 
 
 def refusal(sufficient: Column, answer: Column, n_citations: Column, echoed: Column) -> Column:
-    """Why an answer is refused; null if it stands. The first reason counts."""
+    """Why an answer is refused; null if it stands. The first reason counts; ``model_refusal``: it is or ends in a refusal of some language."""
     return (
         F.when(~sufficient, "insufficient_evidence").when(echoed, "prompt_echo").when(F.trim(F.coalesce(answer, F.lit(""))) == "", "empty_answer")
-        .when(n_citations == 0, "no_citations")
+        .when(ends_in_refusal(answer), "model_refusal").when(n_citations == 0, "no_citations")
     )
 
 

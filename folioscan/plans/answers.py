@@ -50,7 +50,7 @@ def route_intent(spark, d):
 
 _TALK = [
     ("Hello!", "greeting"), ("Hello, who are you?", "identity"), ("what can you do", "capability"), ("How are you doing?", "how_are_you"), ("Thanks a lot.", "thanks"), ("hi section {}", None),
-    ("good night", "farewell"), ("OK", "ack"), ("What is your purpose?", "identity"), ("help", "capability"), ("  Good   Morning ", "greeting_morning"), ("who are you and what is theft", None), ("?!", None),
+    ("good night", "farewell"), ("OK", "ack"), ("What is your purpose?", "identity"), ("help", "capability"), ("  Good   Morning ", "greeting_morning"), ("who are you and what is theft", None), ("?!", None), ("help me", None), ("How can you help me?", "capability"), ("please help us", None),
 ]
 
 
@@ -159,26 +159,44 @@ def forms_validate(spark, d):
 # --- answers ---------------------------------------------------------------------------------------
 
 _N = "(o_orderkey % 400 + 1)"
-#: Texts by the order's remainder, with the rule of each sentence where the section is known and where it isn't.
+_W = "The widget is sold [BNS s.{}]."
+#: Texts by the order's remainder ({}: a section, {h}: a document's id), with each sentence's rule where both are known and where they aren't, and what stays of it.
 _ANSWERS = [
-    ("The widget is sold [BNS s.{}].", [("keep", "invalid")]), ("The moon is round [BNS s.{}].", [("irrelevant", "invalid")]), ("The Indian Penal Code rules {}.", [("misattributed",) * 2]),
-    ("The widget is sold [BNS sec.{}].", [("malformed",) * 2]), ("Then section {} applies.", [("keep", "unknown_section")]), ("He is liable to punishment {}.", [("uncited_claim",) * 2]),
-    ("Who sells a widget gets punishment for damages. The widget is sold [BNS s.{}].", [("keep", "uncited_claim"), ("keep", "invalid")]), ("The widget is sold [BNS s.{}(1)].", [("keep", "invalid")]),
+    (_W, [("keep", "invalid", _W)]), ("The moon is round [BNS s.{}].", [("irrelevant", "invalid", None)]), ("The Indian Penal Code rules {}.", [("misattributed", "misattributed", None)]),
+    ("The widget is sold [BNS sec.{}].", [("malformed", "malformed", None)]), ("Then section {} applies.", [("keep", "unknown_section", "Then section {} applies.")]),
+    ("He is liable to punishment {}.", [("uncited_claim", "uncited_claim", None)]),
+    ("Who sells a widget gets punishment for damages. " + _W, [("keep", "uncited_claim", "Who sells a widget gets punishment for damages."), ("keep", "invalid", _W)]),
+    ("The widget is sold [BNS s.{}(1)].", [("keep", "invalid", "The widget is sold [BNS s.{}(1)].")]),
+    ("Who sells a widget gets punishment for damages.\n\n" + _W, [("uncited_claim", "uncited_claim", None), ("keep", "invalid", _W)]),
+    ("The tenant pays rent [{{h}} p.2].", [("keep", "invalid", "The tenant pays rent [Document {h} p.2].")]), ("The tenant pays rent [Document {h} p.9].", [("invalid", "invalid", None)]),
+    ("I am here to help [bns S.{}].", [("self_reference", "invalid", "I am here to help [BNS s.{}].")]), ("[BNS s.{}]", [("no_content", "invalid", "")]),
+    ("See these papers:\n* [Document {h} p.1]\n* [BNS s.{}]", [("keep", "invalid", "See these papers: * [Document {h} p.1] * [BNS s.{}]")]),
+    ("धारा {} में सजा है [BNS s.{}]।", [("keep", "invalid", "धारा {} में सजा है [BNS s.{}]।")]), ("यह सजा है [BNS s.{}]।", [("irrelevant", "invalid", None)]),
+    ("यह सजा है [Document {h}]।", [("keep", "invalid", "यह सजा है [Document {h}]।")]),
+    ("Mr. A pays Rs. 500 for widget damages [BNS s.{}]. Section {} of BNS says so.", [("keep", "invalid", "Mr. A pays Rs. 500 for widget damages [BNS s.{}]."), ("keep", "unknown_section", "Section {} of BNS says so.")]),
+    ("The widget is sold [BNS s.{}] [Document {h}].", [("keep", "invalid", _W)]), ("The Indian Penal Code is named on rent papers [Document {h} p.3].", [("keep", "invalid", "The Indian Penal Code is named on rent papers [Document {h} p.3].")]),
 ]
 
 
 def _checked(spark, d) -> DataFrame:
     n = F.expr(_N).cast("string")
-    forms = F.array(*[F.replace(F.lit(t), F.lit("{}"), n) for t, _ in _ANSWERS])
+    known = lambda c: F.substring(F.md5(c.cast("string").cast("binary")), 1, 12)
+    forms = F.array(*[F.replace(F.replace(F.lit(t), F.lit("{}"), n), F.lit("{h}"), known(n)) for t, _ in _ANSWERS])
     answers = table(spark, d, "orders").select(F.col("o_orderkey").alias("answer_id"), F.get(forms, (F.col("o_orderkey") % len(_ANSWERS)).cast("int")).alias("text"))
     body = F.concat(F.lit("Whoever sells a widget shall pay damages under rule (1) on "), "p_type")
-    evidence = table(spark, d, "part").select(F.lit("BNS").alias("act_short"), (F.col("p_partkey") % 400 + 1).cast("string").alias("section_number"), F.lit(None).cast("string").alias("subsection"), body.alias("text"))
-    return checking.check_answers(answers, evidence)
+    number = (F.col("p_partkey") % 400 + 1).cast("string")
+    evidence = table(spark, d, "part").select(F.lit("BNS").alias("act_short"), number.alias("section_number"), F.lit(None).cast("string").alias("subsection"), body.alias("text"))
+    files = table(spark, d, "part").select(known(number).alias("document_id"), F.lit(1).alias("page_start"), F.lit(3).alias("page_end"), F.concat(F.lit("The tenant pays rent to "), "p_brand").alias("text"))
+    return checking.check_answers(answers, evidence, documents=files)
+
+
+def _quoted(t: str | None) -> str:
+    return "NULL" if t is None else "'" + t.replace("'", "''") + "'"
 
 
 _CHECKED = f"""ev AS (SELECT DISTINCT p_partkey % 400 + 1 AS n FROM part), an AS (SELECT o_orderkey AS answer_id, o_orderkey % {len(_ANSWERS)} AS i, {_N} AS num, {_N} IN (SELECT n FROM ev) AS ok FROM orders),
-    ru AS (SELECT an.*, seq, CASE WHEN ok THEN a ELSE b END AS rule FROM an JOIN (VALUES """ + ", ".join(
-    f"({i}, {j}, '{a}', '{b}')" for i, (_, rules) in enumerate(_ANSWERS) for j, (a, b) in enumerate(rules)) + ") v(i, seq, a, b) USING (i))"
+    ru AS (SELECT an.*, seq, CASE WHEN ok THEN a ELSE b END AS rule, replace(replace(t, '{{}}', num::VARCHAR), '{{h}}', left(md5(num::VARCHAR), 12)) AS kept FROM an JOIN (VALUES """ + ", ".join(
+    f"({i}, {j}, '{a}', '{b}', {_quoted(t)})" for i, (_, rules) in enumerate(_ANSWERS) for j, (a, b, t) in enumerate(rules)) + ") v(i, seq, a, b, t) USING (i))"
 
 
 @query("citation_check", f"WITH {_CHECKED} SELECT answer_id, seq::INT AS seq, rule FROM ru")
@@ -186,9 +204,8 @@ def citation_check(spark, d):
     return _checked(spark, d).select("answer_id", "seq", "rule")
 
 
-@query("answer_kept", f"""WITH {_CHECKED}, tx AS (SELECT ru.*, replace(t, '{{}}', num::VARCHAR) AS sentence FROM ru JOIN (VALUES """ + ", ".join(
-    f"({i}, {j}, '{s}')" for i, (t, _) in enumerate(_ANSWERS) for j, s in enumerate(t.replace("damages. ", "damages.\t").split("\t"))) + """) v(i, seq, t) USING (i, seq))
-    SELECT answer_id, coalesce(string_agg(CASE WHEN rule = 'keep' THEN sentence END, ' ' ORDER BY seq), '') AS text, sum(CASE WHEN rule <> 'keep' THEN 1 ELSE 0 END)::BIGINT AS n_removed FROM tx GROUP BY answer_id""")
+@query("answer_kept", f"""WITH {_CHECKED}, k AS (SELECT *, CASE WHEN rule IN ('keep', 'self_reference', 'no_content') THEN kept END AS stays FROM ru)
+    SELECT answer_id, coalesce(string_agg(stays, ' ' ORDER BY seq), '') AS text, sum(CASE WHEN stays IS NULL THEN 1 ELSE 0 END)::BIGINT AS n_removed FROM k GROUP BY answer_id""")
 def answer_kept(spark, d):
     return checking.kept_text(_checked(spark, d))
 

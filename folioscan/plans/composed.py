@@ -31,7 +31,7 @@ def _forms(forms: list[tuple], column: str) -> str:
 
 
 _FOREIGN = [
-    ("What does the Hindu Marriage Act say?", "Hindu Marriage Act"), ("Explain the Code of Civil Procedure", "Code of Civil Procedure"), ("punishment for murder in New York", "new york law"),
+    ("What does the Hindu Marriage Act say?", "Hindu Marriage Act"), ("Explain the Code of Civil Procedure", "Code of Civil Procedure"), ("punishment for murder in New York", "New York law"), ("murder in the uK", "uK law"), ("law to be Evidence Act", "be Evidence Act"),
     ("the act of murder", None), ("punishment under this act", None), ("the Test Sanhita Act", None), ("under Indian law", None), ("the Penal Code", "Penal Code"), ("the penal code", None),
     ("does the law punish theft", None), ("Indian Penal Code section 5", "Indian Penal Code"), ("the BNS Act, please", None), ("", None),
 ]
@@ -43,7 +43,7 @@ def foreign_gate(spark, d):
     return _asked(spark, d, _FOREIGN).select("c_custkey", "form", composed.foreign_statute(F.col("q"), words).alias("foreign_name"))
 
 
-@query("corpus_vocabulary", "SELECT 'bns,nyaya,of,sanhita,test' AS words")
+@query("corpus_vocabulary", "SELECT 'bns,india,indian,nyaya,of,sanhita,test' AS words")
 def corpus_vocabulary(spark, d):
     c = table(spark, d, "orders").select(F.when(F.col("o_orderkey") % 2 == 0, "Act of Nyaya").otherwise("Test Sanhita Code, 2023").alias("act"), F.lit("BNS").alias("act_short"))
     return composed.corpus_vocabulary(c).select(F.array_join("words", ",").alias("words"))
@@ -92,28 +92,50 @@ def _retrieve_sql() -> str:
     return f"SELECT c_custkey, i::INT AS form, acts::INT AS acts, CASE i {arms} END AS outcome FROM customer, range(0, {len(_RETRIEVE)}) r(i), range(0, 2) s(acts)"
 
 
+def _retrieval(spark, d, acts: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Questions, verdicts, documents, results and hits over a corpus of one act, or with ``acts`` of two; customers of even numbers have documents."""
+    q = _asked(spark, d, [(t, None) for t, _ in _RETRIEVE]).withColumn("query_id", F.col("c_custkey") * 100 + F.col("form"))
+    n = F.col("id").cast("string")
+    one = spark.range(1, 901).select(F.concat(F.lit("BNS-"), n).alias("chunk_id"), F.lit("Bharatiya Nyaya Sanhita").alias("act"), F.lit("BNS").alias("act_short"), n.alias("section_number"),
+                                     F.lit(None).cast("string").alias("subsection"), F.lit("text").alias("text"))
+    chunks = one.union(one.limit(0) if not acts else spark.range(0, 1).select(F.lit("X-1"), F.lit("Test Code"), F.lit("X"), F.lit("999"), F.lit(None).cast("string"), F.lit("text")))
+    asked = composed.understand(q.select("query_id", F.col("q").alias("text")), chunks)
+    rank = lambda forms, at: q.where(F.col("form").isin(*forms)).select("query_id", F.lit("BNS-1").alias("chunk_id"), F.lit(at).alias("rank"))
+    # Theft stands first in both lists; the weak question's only row is far down one of them, and but half relevant.
+    similarity = q.where("form in (4, 8)").select("query_id", F.when(F.col("form") == 4, 0.9).otherwise(0.54).alias("similarity"))
+    results, verdicts = composed.statute_evidence(asked, chunks, rank([4], 1).union(rank([8], 20)), rank([4], 1), similarity)
+    own = F.col("c_custkey") % 2 == 0
+    resolved = q.select("query_id", F.when(own, F.col("c_custkey")).alias("session_id"), F.when(own, "all").alias("outcome"))
+    hits = q.where(own).select("query_id", F.explode(F.array(F.lit(0.3), F.lit(0.4))).alias("score")).withColumn("chunk_id", F.concat(F.lit("d"), F.col("score").cast("string")))
+    return q, verdicts, composed.document_evidence(resolved, hits), results, hits
+
+
 @query("retrieve_route", _retrieve_sql())
 def retrieve_route(spark, d):
-    """Every question to its outcome, with the reason of a refusal; customers of even numbers have documents."""
-    out = None
+    """Every question to its outcome, with the reason of a refusal."""
+    out = []
     for acts in (0, 1):
-        q = _asked(spark, d, [(t, None) for t, _ in _RETRIEVE]).withColumn("query_id", F.col("c_custkey") * 100 + F.col("form"))
-        n = F.col("id").cast("string")
-        one = spark.range(1, 901).select(F.concat(F.lit("BNS-"), n).alias("chunk_id"), F.lit("Bharatiya Nyaya Sanhita").alias("act"), F.lit("BNS").alias("act_short"), n.alias("section_number"),
-                                         F.lit(None).cast("string").alias("subsection"), F.lit("text").alias("text"))
-        chunks = one.union(one.limit(0) if not acts else spark.range(0, 1).select(F.lit("X-1"), F.lit("Test Code"), F.lit("X"), F.lit("999"), F.lit(None).cast("string"), F.lit("text")))
-        asked = composed.understand(q.select("query_id", F.col("q").alias("text")), chunks)
-        rank = lambda forms, at: q.where(F.col("form").isin(*forms)).select("query_id", F.lit("BNS-1").alias("chunk_id"), F.lit(at).alias("rank"))
-        # Theft stands first in both lists; the weak question's only row is far down one of them.
-        _, verdicts = composed.statute_evidence(asked, chunks, rank([4], 1).union(rank([8], 20)), rank([4], 1))
-        verdicts = verdicts.withColumn("confidence", F.when(F.col("query_id") % 100 == 8, 0.2).otherwise(F.col("confidence")))
-        own = F.col("c_custkey") % 2 == 0
-        resolved = q.select("query_id", F.when(own, F.col("c_custkey")).alias("session_id"), F.when(own, "all").alias("outcome"))
-        docs = composed.document_evidence(resolved, q.where(own).select("query_id", F.lit(0.4).alias("score")))
+        q, verdicts, docs, _, _ = _retrieval(spark, d, acts)
         got = composed.retrieve(verdicts, docs).select("query_id", F.concat_ws(":", "outcome", "reason").alias("outcome"))
-        part = q.join(got, "query_id").select("c_custkey", "form", F.lit(acts).alias("acts"), "outcome")
-        out = part if out is None else out.union(part)
-    return out
+        out.append(q.join(got, "query_id").select("c_custkey", "form", F.lit(acts).alias("acts"), "outcome"))
+    return out[0].union(out[1])
+
+
+@query("retrieved_rows", f"""WITH r AS ({_retrieve_sql()}), o AS (SELECT *, split_part(outcome, ':', 1) AS o FROM r), s AS (SELECT *, CASE form WHEN 4 THEN 1.0::DOUBLE WHEN 8 THEN round((1.0::DOUBLE / 80) / (2.0::DOUBLE / 61) * 0.5, 6)
+      WHEN 0 THEN 1.0::DOUBLE WHEN 6 THEN 1.0::DOUBLE WHEN 2 THEN CASE WHEN acts = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ELSE 0.0::DOUBLE END AS c FROM o)
+    SELECT c_custkey, form, acts, o AS outcome, CASE o WHEN 'documents' THEN 0.4::DOUBLE ELSE c END AS confidence, nullif(split_part(outcome, ':', 2), '') AS reason,
+           CASE WHEN o NOT IN ('statute', 'merged') THEN '' WHEN form IN (0, 2, 6) THEN '1 BNS-' || (c_custkey % 900 + 1) || ' lookup' WHEN form = 4 THEN '1 BNS-1 hybrid' ELSE '1 BNS-1 dense' END AS results,
+           CASE WHEN o IN ('documents', 'merged') THEN 'd0.4,d0.3' ELSE '' END AS hits FROM s""")
+def retrieved_rows(spark, d):
+    """Retrieval as a whole, one row per question: outcome, confidence with the relevance band, statute rows and session chunks."""
+    out = []
+    for acts in (0, 1):
+        q, verdicts, docs, results, hits = _retrieval(spark, d, acts)
+        got = composed.retrieved(verdicts, docs, results, hits)
+        rows = F.array_join(F.transform("results", lambda x: F.concat_ws(" ", x["rank"].cast("string"), x["chunk_id"], x["source"])), ",")
+        got = got.select("query_id", "outcome", F.round("confidence", 6).alias("confidence"), "reason", rows.alias("results"), F.array_join(F.col("document_hits.chunk_id"), ",").alias("hits"))
+        out.append(q.join(got, "query_id").select("c_custkey", "form", F.lit(acts).alias("acts"), "outcome", "confidence", "reason", "results", "hits"))
+    return out[0].union(out[1])
 
 
 _ORDER = ["foreign_statute", "ambiguous", "no_such_document", "no_session", "below_threshold", "no_match"]
