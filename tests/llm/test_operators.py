@@ -150,6 +150,24 @@ def test_lines_differ_beyond_a_words_start(spark, native):
     assert got == {i for i, _ in full_drops(enumerate(far + near))} == {len(far) + k for k in (1, 3, 5)}
 
 
+@pytest.mark.parametrize("native", [True, False])
+@pytest.mark.parametrize("alphabet", ["0124568 ,-", "abcdefgh ", "clopqr,. 9"])
+def test_long_lines_of_few_letters(spark, native, alphabet):
+    """Pairs of long lines at a similarity of 0.8 to 0.95: bands find nearly all, whatever letters the lines have."""
+    rng = random.Random(9)
+    pick = lambda n: "".join(rng.choice(alphabet) for _ in range(n)).strip(" ").ljust(n, "1")
+    rows = []
+    for k in range(60):
+        line = list(pick(200))
+        other = line.copy()
+        for at in rng.sample(range(10, 190), 1 + k % 2):
+            other[at] = "z"
+        rows += [(2 * k, "".join(line)), (2 * k + 1, "".join(other))]
+    want = {i for i, _ in full_drops(rows)}
+    got = {r.doc_id for r in lines.dedup_report(spark.createDataFrame(rows, "doc_id long, text string"), native).where("n_kept < n_lines").collect()}
+    assert got <= want and len(want) >= 50 and len(got) >= 0.95 * len(want)
+
+
 def test_line_hashes_are_those_of_all_shingles():
     """Distinct hashes against sets of strings, minima against a minimum a line; parts that end within a line change nothing."""
     rng = np.random.default_rng(3)
