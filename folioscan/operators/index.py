@@ -40,18 +40,20 @@ def corpus_stats(docs: DataFrame, post: DataFrame) -> DataFrame:
     return n.crossJoin(t).withColumn("avgdl", avg)
 
 
-def bm25(queries: DataFrame, docs: DataFrame, key: str = "doc_id", query: str = "query_id", scored: DataFrame | None = None) -> DataFrame:
+def bm25(queries: DataFrame, docs: DataFrame, key: str = "doc_id", query: str = "query_id", scored: DataFrame | None = None, text: str = "text") -> DataFrame:
     """(query, key, score) of all documents that share a term with the query.
 
     ``queries`` has (query, text). Statistics are those of ``docs``; ``scored``, a subset of keys, limits what is
     scored but never the statistics. Repeated query terms count each time.
     """
     q = terms(queries, query).groupBy(query, "term").agg(F.count("*").alias("qtf"))
-    # A document's length travels with its tokens, and only terms that are asked for become postings.
-    tokens = docs.select(key, raw_tokens(F.col("text")).alias("t")).select(key, F.size("t").alias("dl"), F.explode("t").alias("token"))
-    asked = tokens.select(key, "dl", stem(F.col("token")).alias("term")).join(q.select("term").distinct(), "term", "left_semi")
-    post = stored(asked.groupBy(key, "dl", "term").agg(F.count("*").alias("tf")))
-    stats = docs.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum(F.size(raw_tokens(F.col("text")))), F.lit(0)).alias("n_tokens"))
+    # Texts are cut into tokens once, and stored; only distinct tokens are stemmed, and of these the few that asked terms come from meet the documents.
+    tokens = stored(docs.select(key, raw_tokens(F.col(text)).alias("t")))
+    words = tokens.select(F.explode("t").alias("token")).distinct().select("token", stem(F.col("token")).alias("term"))
+    asked = stored(words.join(q.select("term").distinct(), "term", "left_semi"))
+    found = tokens.select(key, F.size("t").alias("dl"), F.explode("t").alias("token")).join(asked, "token")
+    post = stored(found.groupBy(key, "dl", "term").agg(F.count("*").alias("tf")))
+    stats = tokens.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum(F.size("t")), F.lit(0)).alias("n_tokens"))
     stats = stats.select("n_docs", F.when(F.col("n_docs") == 0, F.lit(0.0)).otherwise(F.col("n_tokens") / F.col("n_docs")).alias("avgdl"))
     hit = post if scored is None else post.join(scored.select(key).distinct(), key, "left_semi")
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))

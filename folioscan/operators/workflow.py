@@ -183,3 +183,22 @@ def ocr_capped(forms: DataFrame, pages: DataFrame, by: list[str], most: float =
     return out.withColumn("confidence", F.when(F.col("__ocr"), F.least("confidence", F.lit(most))).otherwise(F.col("confidence"))).withColumn(
         "needs_review", F.col("needs_review") | F.col("__ocr")
     ).drop("__ocr")
+
+
+def forms_manifest(forms: DataFrame, pages: DataFrame, by: list[str]) -> DataFrame:
+    """(by, form_number, title, source_page_start, source_page_end, output_filename, byte_size, sha256, confidence, needs_review): a manifest's rows.
+
+    ``forms`` has (by, form_number, title, start_page, end_page, confidence, needs_review), ``pages`` (by, page, printed_page, content, ocr). A form's
+    bytes are those of its pages in order; pages that were read by OCR cap its confidence. File names are made of number and title,
+    later ones of equal names get -2, -3 and so on within their source, in the order of pages.
+    """
+    spans = forms.select(*by, "form_number", "start_page", F.explode(F.sequence("start_page", "end_page")).alias("page"))
+    own = spans.join(pages.select(*by, "page", "printed_page", "content"), [*by, "page"]).groupBy(*by, "form_number", "start_page").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "content"))), lambda x: x["content"]), "").cast("binary").alias("__bytes"),
+        F.min_by("printed_page", "page").alias("source_page_start"), F.max_by("printed_page", "page").alias("source_page_end"))
+    capped = ocr_capped(forms, pages, by).join(own, [*by, "form_number", "start_page"], "left")
+    named = capped.withColumn("__name", F.concat(F.lit("FORM-"), F.col("form_number").cast("string"), F.lit("_"), slug(F.col("title"))))
+    n = F.row_number().over(Window.partitionBy(*by, "__name").orderBy("start_page"))
+    filename = F.concat("__name", F.when(n > 1, F.concat(F.lit("-"), n.cast("string"))).otherwise(""), F.lit(".pdf"))
+    return named.withColumn("output_filename", filename).select(
+        *by, "form_number", "title", "source_page_start", "source_page_end", "output_filename", F.octet_length("__bytes").alias("byte_size"), F.sha2("__bytes", 256).alias("sha256"), "confidence", "needs_review")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscan.functions import text
 from folioscan.functions.vectors import hashing_embedding
-from folioscan.operators import composed, evaluation, index, ranking, structure, workflow
+from folioscan.operators import composed, evaluation, index, ranking, sessions, structure, workflow
 from folioscan.plans import retrieval as r
 from folioscan.plans.answers import _asked, _cases
 from folioscan.plans.retrieval import table
@@ -79,6 +79,50 @@ def hybrid_dense_sparse(spark, d):
     return results.select("query_id", F.col("chunk_id").alias("doc_id"), F.col("score").alias("rrf_score"), "rank", "source")
 
 
+_SESSION_ITEMS = "items AS (SELECT item_id AS query_id, CASE WHEN item_id % 8 = 1 THEN 'zzqx' ELSE text END AS text FROM benchmark)"
+
+
+@query("session_search", f"""WITH {r._POST}, {_SESSION_ITEMS}, {r.terms_sql("qt", "items", "query_id")}, {_DENSE.split(", dn AS")[0]}, {r._LEX},
+    ok AS (SELECT query_id, doc_id, source AS session, query_id % 4 <= 1 AS named FROM items JOIN documents ON source = 'src' || (query_id % 20) WHERE query_id % 4 > 1 OR doc_id % 5 = query_id % 5),
+    d0 AS (SELECT query_id, doc_id, round(sum(hq.w * he.w), 6) AS score FROM hq JOIN he USING (bucket) JOIN ok USING (query_id, doc_id) GROUP BY ALL),
+    d1 AS ({r._TOP.format('d0', 8)}), l0 AS (SELECT lx.query_id, chunk_id AS doc_id, score FROM lx JOIN ok ON ok.query_id = lx.query_id AND ok.doc_id = lx.chunk_id), l1 AS ({r._TOP.format('l0', 10)}),
+    u AS (SELECT query_id, doc_id, rank, 1 AS d FROM d1 UNION ALL SELECT query_id, doc_id, rank, 0 FROM l1),
+    f AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS s, max(d) AS d FROM u GROUP BY ALL),
+    g AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS k, sum(d) OVER (PARTITION BY query_id) AS n FROM f),
+    h AS (SELECT query_id, doc_id, k FROM g WHERE n = 0 OR k <= n UNION ALL
+          SELECT query_id, doc_id, k FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS k FROM ok WHERE named AND query_id NOT IN (SELECT query_id FROM f)) WHERE k <= 8),
+    p AS (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS position FROM documents)
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(d1.score, l1.score, 0) DESC, k) AS place, doc_id AS chunk_id, coalesce(d1.score, l1.score, 0)::DOUBLE AS score,
+           'f' || doc_id || '.pdf' AS filename, position FROM h LEFT JOIN d1 USING (query_id, doc_id) LEFT JOIN l1 USING (query_id, doc_id) JOIN p USING (doc_id)""")
+def session_search(spark, d):
+    """Every benchmark item asked of one source's documents as a session; some name documents, some of these find nothing."""
+    docs = table(spark, d, "documents").select(F.col("source").alias("session_id"), F.col("doc_id").alias("document_id"), F.col("doc_id").alias("chunk_id"), "text", F.col("doc_id").alias("created_at"),
+                                               F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("filename"))
+    q = r._queries(spark, d).select("query_id", F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string")).alias("session_id"), F.when(F.col("query_id") % 8 == 1, "zzqx").otherwise(F.col("text")).alias("text"))
+    scope = q.where("query_id % 4 <= 1").join(docs, "session_id").where("document_id % 5 = query_id % 5").select("query_id", "document_id")
+    return sessions.search(q, docs, docs, scope).select("query_id", "place", "chunk_id", "score", "filename", F.col("position").cast("long").alias("position"))
+
+
+@query("eval_dense_hybrid", f"""WITH {r._BM25}, {_DENSE}, {r._EXPECT}, a AS ({r._TOP.format('dn', 20)}), b AS ({r._TOP.format('bm', 20)}),
+    u AS (SELECT query_id, doc_id, 0 AS l, rank AS r FROM a UNION ALL SELECT query_id, doc_id, 1, rank FROM b),
+    f AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + r)), 9) AS s, min(l * 1000000 + r) AS fs FROM u GROUP BY ALL),
+    rs AS (SELECT 'dense' AS config, query_id, doc_id, rank FROM a WHERE rank <= 10 UNION ALL SELECT * FROM (SELECT 'hybrid', query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, fs) AS rank FROM f) WHERE rank <= 10),
+    e AS (SELECT config, query_id, doc_id, rank FROM (SELECT * FROM ex, (VALUES ('dense'), ('hybrid')) v(config)) LEFT JOIN rs USING (config, query_id, doc_id)),
+    p AS (SELECT config, query_id, sum(CASE WHEN rank <= 5 THEN 1 ELSE 0 END)::DOUBLE / count(*) AS r5, sum(CASE WHEN rank <= 10 THEN 1 ELSE 0 END)::DOUBLE / count(*) AS r10, coalesce(1.0::DOUBLE / min(rank), 0.0) AS rr FROM e GROUP BY ALL)
+    SELECT config, count(*) AS n_cases, round(avg(r5), 6) AS recall_at_5, round(avg(r10), 6) AS recall_at_10, round(avg(rr), 6) AS mrr FROM p GROUP BY config""")
+def eval_dense_hybrid(spark, d):
+    """An evaluation run: the dense list alone against dense and sparse fused, means over all cases."""
+    docs, asked = table(spark, d, "documents"), r._queries(spark, d)
+    dense = ranking.cosine_topk(_dense_rows(index.terms(asked, "query_id"), "query_id"), _dense_rows(index.terms(docs), "doc_id"), 20, key="doc_id", others=False).where("score > 0")
+    sparse = index.top_k(index.bm25(asked, docs), 20)
+    fused = ranking.fuse([("dense", dense), ("sparse", sparse)])
+    hybrid = fused.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rrf_score"), "first_seen")).cast("long")).where("rank <= 10")
+    expected = asked.join(docs.select("doc_id"), F.col("doc_id") % 97 == F.col("query_id") % 97).select("query_id", "doc_id")
+    runs = {"dense": dense.where("rank <= 10"), "hybrid": hybrid}
+    scored = [evaluation.recall_and_rank(expected, run).withColumn("config", F.lit(name)) for name, run in runs.items()]
+    return scored[0].unionByName(scored[1]).groupBy("config").agg(F.count("*").alias("n_cases"), *[F.round(F.avg(c), 6).alias(n) for c, n in (("recall_at_5", "recall_at_5"), ("recall_at_10", "recall_at_10"), ("reciprocal_rank", "mrr"))])
+
+
 #: What is asked, and what comes of it: in a corpus of one act and of two, each for customers with and without documents.
 _RETRIEVE = [
     ("section {}", ["statute"] * 4), ("what does the Hindu Marriage Act say about section {}", ["documents", "refused:foreign_statute"] * 2), ("BNSS {}", ["statute", "statute", "documents", "refused:no_session"]),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscan.functions import language
 from folioscan.operators import labels, titles, workflow
+from folioscan.streaming import failover
 from folioscan.plans.retrieval import table
 
 QUERIES: dict = {}
@@ -115,3 +116,33 @@ def title_grades(spark, d):
     got = F.when(i == 0, F.concat(F.upper("p_name"), F.lit("."))).when(i == 1, F.concat(plain, F.lit("7"))).when(i == 2, F.get(F.split(plain, " "), 0)).when(i == 3, "zxq zxq 99999 zxq zxq zxq").when(i == 4, " ")
     graded = titles.grade_titles(p.select("p_partkey", "p_brand", got.alias("got"), F.col("p_name").alias("want")), ["p_brand", "p_partkey"])
     return graded.groupBy("p_brand", "grade").agg(F.count("*").alias("n"))
+
+
+@query("forms_manifest", """WITH l AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice) AS i, l_partkey, l_suppkey FROM lineitem),
+    f AS (SELECT l_orderkey, i AS form_number, CASE WHEN l_partkey % 3 = 0 THEN 'BOND and bail-bond' ELSE 'Summons to a WITNESS' END AS title, (i * 2)::INT AS a, l_suppkey % 4 = 0 AS ocr, l_partkey FROM l)
+    SELECT l_orderkey, form_number, title, a + 100 AS source_page_start, a + 101 AS source_page_end, 'FORM-' || form_number || CASE WHEN l_partkey % 3 = 0 THEN '_Bond-and-Bail-Bond' ELSE '_Summons-to-a-Witness' END || '.pdf' AS output_filename,
+           length('page ' || a || ';page ' || (a + 1) || ';')::INT AS byte_size, sha256('page ' || a || ';page ' || (a + 1) || ';') AS sha256, CASE WHEN ocr THEN 0.6::DOUBLE ELSE 0.9::DOUBLE END AS confidence, ocr AS needs_review FROM f""")
+def forms_manifest(spark, d):
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice")
+    li = table(spark, d, "lineitem").withColumn("i", F.row_number().over(order)).withColumn("a", F.col("i") * 2)
+    title = F.when(F.col("l_partkey") % 3 == 0, "BOND and bail-bond").otherwise("Summons to a WITNESS")
+    forms = li.select("l_orderkey", F.col("i").cast("long").alias("form_number"), title.alias("title"), F.col("a").alias("start_page"), (F.col("a") + 1).alias("end_page"), F.lit(0.9).alias("confidence"), F.lit(False).alias("needs_review"))
+    page = F.explode(F.array(F.col("a"), F.col("a") + 1))
+    pages = li.select("l_orderkey", "a", (F.col("l_suppkey") % 4 == 0).alias("o"), page.alias("page"))
+    pages = pages.select("l_orderkey", "page", (F.col("page") + 100).alias("printed_page"), F.concat(F.lit("page "), F.col("page").cast("string"), F.lit(";")).alias("content"), (F.col("o") & (F.col("page") > F.col("a"))).alias("ocr"))
+    return workflow.forms_manifest(forms, pages, ["l_orderkey"])
+
+
+def failover_replay(spark, d):
+    """Every user's events as requests to three providers whose failures depend on the event; the fold has no SQL twin."""
+    e = table(spark, d, "events")
+    kinds = F.array(*[F.lit(k) for k in ("rate_limit", "timeout", "permanent", "transient", "odd")])
+    answer = lambda j: F.struct(F.lit(f"p{j}").alias("provider"), F.when(F.pmod(F.xxhash64("event_id", F.lit(j)), F.lit(3)) == 0, F.get(kinds, (F.col("event_id") % 5).cast("int"))).alias("error"),
+                                (F.col("event_id") % 50).cast("double").alias("seconds"), (F.col("event_id") % 2 == 0).alias("emitted"))
+    requests = e.select(F.col("user_id").alias("pool"), F.col("event_id").alias("request_id"), "ts", (F.col("event_id") % 4 == 0).alias("stream"), F.array(*[answer(j) for j in range(3)]).alias("outcomes"))
+    three = F.inline(F.array(*[F.struct(F.lit(f"p{j}").alias("id"), F.lit(j % 2).alias("priority"), F.lit(True).alias("enabled"), F.lit(j == 2).alias("is_default")) for j in range(3)]))
+    providers = e.select(F.col("user_id").alias("pool")).distinct().select("pool", (F.col("pool") % 2 == 0).alias("round_robin"), three)
+    return failover.replay(requests, providers)
+
+
+QUERIES["failover_replay"] = failover_replay
