@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from folioscan.functions import language
 from folioscan.operators import labels, titles, workflow
-from folioscan.streaming import failover
+from folioscan.sources import exposition, tables
+from folioscan.streaming import failover, state
 from folioscan.plans.retrieval import table
 
 QUERIES: dict = {}
@@ -133,6 +134,52 @@ def forms_manifest(spark, d):
     return workflow.forms_manifest(forms, pages, ["l_orderkey"])
 
 
+_LE = [f"{b:g}" for b in exposition.BUCKETS]
+
+
+@query("metrics_exposition", f"""WITH c AS (SELECT 'events_total{{event_type="' || event_type || '"}} ' || printf('%g', count(*)::DOUBLE) AS line FROM events GROUP BY event_type),
+    g AS (SELECT 'last_value{{event_type="' || event_type || '"}} ' || printf('%g', arg_max(value, (ts, event_id))) AS line FROM events GROUP BY event_type),
+    b AS (SELECT unnest([{", ".join(_LE)}]::DOUBLE[]) AS le, unnest([{", ".join(f"'{x}'" for x in _LE)}]) AS said),
+    h AS (SELECT 'value_seconds_bucket{{event_type="' || event_type || '",le="' || said || '"}} ' || printf('%g', count(*) FILTER (value / 10 <= le)::DOUBLE) AS line FROM events, b GROUP BY event_type, le, said
+          UNION ALL SELECT 'value_seconds_bucket{{event_type="' || event_type || '",le="+Inf"}} ' || printf('%g', count(value)::DOUBLE) FROM events GROUP BY event_type
+          UNION ALL SELECT 'value_seconds_count{{event_type="' || event_type || '"}} ' || printf('%g', count(value)::DOUBLE) FROM events GROUP BY event_type
+          UNION ALL SELECT 'value_seconds_sum{{event_type="' || event_type || '"}} ' || printf('%g', sum(value / 10)) FROM events GROUP BY event_type)
+    SELECT line FROM c UNION ALL SELECT line FROM g UNION ALL SELECT line FROM h
+    UNION ALL SELECT unnest(['# HELP events_total Events.', '# TYPE events_total counter', '# HELP last_value The last value.', '# TYPE last_value gauge', '# HELP value_seconds Values.', '# TYPE value_seconds histogram'])""")
+def metrics_exposition(spark, d):
+    e = table(spark, d, "events")
+    counted = e.groupBy("event_type").agg(F.count("*").alias("n"), F.max_by("value", F.struct("ts", "event_id")).alias("last"))
+    seconds = e.select("event_type", (F.col("value") / 10).alias("v"))
+    return exposition.exposition([
+        exposition.expose_histogram(seconds, "value_seconds", "Values.", ["event_type"], "v"), exposition.expose_values(counted, "events_total", "Events.", ["event_type"], "n"),
+        exposition.expose_values(counted, "last_value", "The last value.", ["event_type"], "last", "gauge")])
+
+
+@query("general_numbers", "SELECT l_orderkey, l_linenumber, l_partkey, printf('%g', CASE l_partkey % 4 WHEN 0 THEN l_extendedprice * 1000.0::DOUBLE WHEN 1 THEN l_extendedprice / 1000000000.0::DOUBLE WHEN 2 THEN -l_extendedprice ELSE l_discount END) AS said FROM lineitem")
+def general_numbers(spark, d):
+    price, i = F.col("l_extendedprice"), F.col("l_partkey") % 4
+    v = F.when(i == 0, price * 1000.0).when(i == 1, price / 1e9).when(i == 2, -price).otherwise(F.col("l_discount"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", exposition.general(v).alias("said"))
+
+
+@query("forget_documents", """SELECT l_orderkey AS session_id, l_partkey || '-p' || l_linenumber AS chunk_id FROM (SELECT DISTINCT l_orderkey, l_partkey, l_linenumber FROM lineitem) WHERE l_partkey % 3 > 0""")
+def forget_documents(spark, d):
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("session_id"), F.col("l_partkey").cast("string").alias("document_id"), F.concat(F.col("l_partkey").cast("string"), F.lit("-p"), F.col("l_linenumber").cast("string")).alias("chunk_id"), "l_partkey").distinct()
+    owned = li.where("l_partkey % 2 = 0").select("session_id", "document_id", "chunk_id")  # the map of the others is lost
+    return tables.forget_documents(li.select("session_id", "chunk_id"), owned, li.where("l_partkey % 3 = 0").select("session_id", "document_id"))
+
+
+_STATUS = ["QUEUED", "PARSING", "CHUNKING", "EMBEDDING", "INDEXING", "READY", "FAILED", "LOST"]
+
+
+@query("status_errors", f"""WITH e AS (SELECT user_id, ts, event_id, event_id % 8 AS s FROM events), l AS (SELECT *, lag(s) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM e),
+    x AS (SELECT *, CASE WHEN s = 7 THEN 'unknown' WHEN p IS NULL THEN CASE WHEN s > 0 THEN 'begins late' END WHEN p IN (5, 6) THEN 'after its end' WHEN s = 6 THEN NULL WHEN (CASE WHEN p = 7 THEN -1 ELSE p END) + 1 <> s THEN 'skips or repeats' END AS error FROM l)
+    SELECT event_id, error FROM x WHERE error IS NOT NULL""")
+def status_errors(spark, d):
+    e = table(spark, d, "events").withColumn("status", F.get(F.array(*[F.lit(s) for s in _STATUS]), (F.col("event_id") % 8).cast("int")))
+    return state.status_errors(e, "user_id", "status", ["ts", "event_id"]).select("event_id", "error")
+
+
 def failover_replay(spark, d):
     """Every user's events as requests to three providers whose failures depend on the event; the fold has no SQL twin."""
     e = table(spark, d, "events")

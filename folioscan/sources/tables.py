@@ -142,6 +142,20 @@ def without_documents(chunks: DataFrame, gone: DataFrame) -> DataFrame:
     return chunks.join(gone.select("document_id"), "document_id", "left_anti")
 
 
+def forget_documents(chunks: DataFrame, owned: DataFrame, gone: DataFrame) -> DataFrame:
+    """``chunks`` (session_id, chunk_id) without those of the documents in ``gone`` (session_id, document_id).
+
+    ``owned`` (session_id, document_id, chunk_id) tells a document's chunks. A document that it has lost is found by its chunks' ids, which begin with its own
+    id and a hyphen: every such beginning of a chunk's id meets the lost documents in an equi join.
+    """
+    named = owned.join(gone.select("session_id", "document_id").distinct(), ["session_id", "document_id"], "left_semi")
+    lost = gone.select("session_id", "document_id").distinct().join(named, ["session_id", "document_id"], "left_anti")
+    ends = F.filter(F.sequence(F.lit(1), F.length("chunk_id")), lambda i: F.substring(F.col("chunk_id"), i, F.lit(1)) == "-")
+    begun = chunks.where(F.contains("chunk_id", F.lit("-"))).select("session_id", "chunk_id", F.explode(F.transform(ends, lambda i: F.substring(F.col("chunk_id"), F.lit(1), i - 1))).alias("document_id"))
+    orphans = begun.join(lost, ["session_id", "document_id"], "left_semi").select("session_id", "chunk_id")
+    return chunks.join(named.select("session_id", "chunk_id").union(orphans).distinct(), ["session_id", "chunk_id"], "left_anti")
+
+
 def prometheus(metrics: DataFrame, name: str, labels: list[str], value: str) -> DataFrame:
     """One text line per series: name{label="value",...} value, label values escaped."""
     escape = lambda c: F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from folioscan.operators.workflow import STAGES
 from folioscan.shipping import ship
 
 
@@ -108,6 +109,23 @@ def latest_status(events: DataFrame, key: str, status: str, seq: list[str]) -> D
     return events.groupBy(key).agg(F.max_by(status, F.struct(*seq)).alias("status"), F.count("*").alias("n_events"))
 
 
+def status_errors(events: DataFrame, key: str, status: str, seq: list[str]) -> DataFrame:
+    """(key, status, before, error) of each job's events that can't follow the one before, null if none came before.
+
+    A job begins as queued and goes one stage on at a time, or fails from any stage but the last; what has failed or is ready stays so.
+    """
+    order = Window.partitionBy(key).orderBy(*seq)
+    stages = F.array(*[F.lit(s) for s in STAGES])
+    place = lambda c: F.array_position(stages, c).cast("int")
+    rows = events.withColumn("before", F.lag(status).over(order))
+    now, was = F.col(status), F.col("before")
+    error = (
+        F.when((place(now) == 0) & (now != "FAILED"), "unknown").when(was.isNull(), F.when(now != STAGES[0], "begins late"))
+        .when(was.isin("FAILED", STAGES[-1]), "after its end").when(now == "FAILED", None).when(place(now) != place(was) + 1, "skips or repeats")
+    )
+    return rows.withColumn("error", error).where("error is not null").select(key, *seq, status, "before", "error")
+
+
 def request_metrics_stream(events: DataFrame, watermark: str = "10 minutes", window: str = "5 minutes") -> DataFrame:
     """Streaming counters and sums per window and event type; late events beyond the watermark are left out."""
     return (
