@@ -19,8 +19,8 @@ scanned one by one; ties between templates give all their labels.
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
-from itertools import chain
+from bisect import bisect_left, bisect_right
+from itertools import chain, groupby
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -141,6 +141,24 @@ class Automaton:
         return found
 
 
+class Covered:
+    """Spans as the disjoint stretches that they cover together, in order."""
+
+    def __init__(self):
+        self.begins: list[int] = []
+        self.stops: list[int] = []
+
+    def meets(self, begin: int, stop: int) -> bool:
+        at = bisect_left(self.begins, stop)
+        return at > 0 and self.stops[at - 1] > begin
+
+    def add(self, begin: int, stop: int) -> None:
+        lo, hi = bisect_left(self.stops, begin), bisect_right(self.begins, stop)
+        if lo < hi:
+            begin, stop = min(begin, self.begins[lo]), max(stop, self.stops[hi - 1])
+        self.begins[lo:hi], self.stops[lo:hi] = [begin], [stop]
+
+
 class Scanner:
     """Templates as word ids, their automaton, and the scan of a batch of texts."""
 
@@ -188,25 +206,22 @@ class Scanner:
                         own[1] = max(own[1], begin + length)
         return done + [(t, *own) for t, own in chains.items()]
 
+    def tells(self, span: tuple[int, int, int, set[int]]) -> bool:
+        """Whether a chain may give its label: it holds a word that only this label's templates have, or all of its template."""
+        return bool(span[3] & self.telling[span[0]]) or len(span[3]) == len(self.sequences[span[0]])
+
     def named(self, found: list[tuple[int, int, int, set[int]]]) -> list[tuple[str, int, int]]:
-        """(label, begin, stop) of the chains that give their label."""
-        good = [
-            x for x in found
-            if len(x[3]) >= MIN_COVER * len(self.sequences[x[0]]) and (x[3] & self.telling[x[0]] or len(x[3]) == len(self.sequences[x[0]]))
-        ]
-        # From the largest down: what is kept is kept in order of places, so a look at the neighbours is enough.
-        kept: dict[str, list[tuple[int, int, int]]] = {}
-        for t, begin, stop, covered in sorted(good, key=lambda x: (-len(x[3]), x[1], x[0])):
-            label = self.labels[t]
-            if not any(self._meets(v, begin, stop, len(covered)) for k, v in kept.items() if k != label):
-                insort(kept.setdefault(label, []), (begin, stop, len(covered)))
-        return sorted({(label, b, e) for label, spans in kept.items() for b, e, _ in spans}, key=lambda x: (x[1], x[2], x[0]))
-
-    @staticmethod
-    def _meets(spans: list[tuple[int, int, int]], begin: int, stop: int, size: int) -> bool:
-        """Whether one of the sorted spans, which reach over GAP and a template's length at most a word, overlaps and covers more."""
-        at = bisect_left(spans, (stop, 0, 0))
-        return any(e > begin and n > size for _, e, n in spans[max(0, at - 64) : at])
+        """(label, begin, stop) of the chains that give their label; one that overlaps a larger chain of another label gives way."""
+        good = [x for x in found if self.tells(x) and len(x[3]) >= MIN_COVER * len(self.sequences[x[0]])]
+        # From the largest down; ``larger`` has the words that kept chains of a label cover which are larger than those at hand.
+        kept: list[tuple[str, int, int]] = []
+        larger: dict[str, Covered] = {}
+        for _, same in groupby(sorted(good, key=lambda x: (-len(x[3]), x[1], x[0])), key=lambda x: len(x[3])):
+            stays = [(self.labels[t], b, e) for t, b, e, _ in same if not any(v.meets(b, e) for k, v in larger.items() if k != self.labels[t])]
+            for label, begin, stop in stays:
+                larger.setdefault(label, Covered()).add(begin, stop)
+            kept += stays
+        return sorted(set(kept), key=lambda x: (x[1], x[2], x[0]))
 
     def scan(self, texts: list[bytes]) -> dict[str, list]:
         get = self.vocabulary.get
@@ -245,7 +260,7 @@ class Scanner:
             stretches.setdefault(d, []).append((lo, ids[lo:hi].tolist()))
         for d, of in stretches.items():
             found = self.spans(of)
-            score[d] = max([score[d], *(len(x[3]) / len(self.sequences[x[0]]) for x in found)])
+            score[d] = max([score[d], *(len(x[3]) / len(self.sequences[x[0]]) for x in found if self.tells(x))])
             for label, begin, stop in self.named(found):
                 labels[d].add(label)
                 spans[d].append(f"{label}:{begin - starts[d]}:{stop - starts[d]}")

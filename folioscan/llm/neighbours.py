@@ -1,9 +1,9 @@
 """Approximate nearest neighbours: a forest of sorted hash strings, ascended synchronously.
 
 Every tree has a string of ``BITS`` random-hyperplane bits for each vector, and is the sorted array of
-these strings. A query descends each tree to its longest matching prefix (a binary search) and then all trees
-ascend together: at prefix length x the candidates are the vectors that share x bits with the
-query in some tree. Candidates are measured exactly, in double precision. A query stops
+these strings. A query descends each tree by a binary search to the string that shares the longest prefix with its own, and begins at the
+longest of all trees. From there all trees ascend together, over the lengths of ``LEVELS`` that are shorter: at prefix length x the
+candidates are the vectors that share x bits with the query in some tree. Candidates are measured exactly, in double precision. A query stops
 ascending once the chance that a vector as near as its current last place shares no
 prefix of length x in any tree falls below ``MISS``; at length 0 every vector is a candidate, so
 sparse regions and small tables end exact.
@@ -31,7 +31,8 @@ from folioscan.shipping import ship
 
 TREES = 16
 BITS = 48
-LEVELS = (32, 24, 18, 14, 11, 9, 7, 6, 5, 4, 3, 2, 1, 0)
+LEVELS = (40, 32, 24, 18, 14, 11, 9, 7, 6, 5, 4, 3, 2, 1, 0)
+_LADDER = np.array(LEVELS[::-1])
 MISS = 0.01
 BLOCK = 4096
 QUERY_BLOCK = 4096
@@ -60,6 +61,16 @@ class Forest:
         weights = np.uint64(1) << np.arange(BITS - 1, -1, -1, dtype=np.uint64)
         return (bits * weights).sum(2, dtype=np.uint64).T
 
+    def longest(self, strings: np.ndarray) -> np.ndarray:
+        """For each query the bits of the longest prefix that it shares with a string of any tree: the neighbours of its place in the order have it."""
+        best = np.zeros(strings.shape[1], np.int64)
+        for held, own in zip(self.sorted, strings):
+            at = np.searchsorted(held, own)
+            for near in (np.maximum(at - 1, 0), np.minimum(at, len(held) - 1)):
+                differ = held[near] ^ own
+                best = np.maximum(best, BITS - np.frexp(differ.astype(np.float64))[1])
+        return best
+
     def search(self, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query the positions and cosines of all it has measured, nearest first, k at least if there are."""
         norms = np.sqrt((queries * queries).sum(1))
@@ -67,15 +78,15 @@ class Forest:
         n, m = len(self.x), len(queries)
         seen = np.zeros((m, n), bool)
         found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * m
-        active = np.arange(m)
-        for level in LEVELS:
-            drop = np.uint64(BITS - level)
+        active, depth = np.arange(m), self.longest(strings)
+        while len(active):
+            drop = (BITS - depth).astype(np.uint64)
             low = strings[:, active] >> drop << drop
             high = low + (np.uint64(1) << drop)
             begin = np.stack([np.searchsorted(s, q) for s, q in zip(self.sorted, low)])
             end = np.stack([np.searchsorted(s, q) for s, q in zip(self.sorted, high)])
             still = []
-            for j, q in enumerate(active.tolist()):
+            for j, (q, level) in enumerate(zip(active.tolist(), depth.tolist())):
                 fresh = np.zeros(n, bool)
                 if level:
                     for t in range(TREES):
@@ -97,10 +108,10 @@ class Forest:
                     agree = 1 - np.arccos(np.clip(found[q][1][k], -1, 1)) / np.pi
                     if (1 - agree**level) ** TREES <= MISS:
                         continue
-                still.append(q)
-            active = np.array(still, np.int64)
-            if not len(active):
-                break
+                if level:
+                    still.append(j)
+            # The next level is the longest of the ladder that is shorter than the one at hand.
+            active, depth = active[still], _LADDER[np.searchsorted(_LADDER, depth[still]) - 1]
         return found
 
 

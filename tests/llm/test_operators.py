@@ -426,7 +426,33 @@ def test_license_chains_cross_foreign_words():
     ]
     got = s.scan([" ".join(t).encode() for t in texts])
     assert got["labels"] == ["mit"] * 5 + ["", ""]
-    assert [round(x * n) for x in got["score"]] == [n, n, n - 1, n - 1, n, 15, 3]
+    # A chain that can't tell a label counts for nothing.
+    assert [round(x * n) for x in got["score"]] == [n, n, n - 1, n - 1, n, 15, 0]
+    assert s.scan([b"released under the bridge by night", b"released under the title Blue Moon"])["score"] == [0.0, 0.0]
+
+
+def test_covered_stretches():
+    rng = random.Random(2)
+    for _ in range(200):
+        held, plain = licenses.Covered(), []
+        for _ in range(12):
+            begin = rng.randint(0, 40)
+            stop = begin + rng.randint(1, 9)
+            assert held.meets(begin, stop) == any(b < stop and begin < e for b, e in plain)
+            held.add(begin, stop)
+            plain.append((begin, stop))
+
+
+def test_longest_prefix():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 8))
+    forest = neighbours.Forest(x)
+    queries = np.concatenate([x[:5], rng.normal(size=(20, 8))])
+    strings = forest.strings(queries / np.sqrt((queries * queries).sum(1))[:, None])
+    text = lambda v: format(int(v), f"0{neighbours.BITS}b")
+    shared = lambda a, b: next((i for i, (p, q) in enumerate(zip(text(a), text(b))) if p != q), neighbours.BITS)
+    want = [max(shared(strings[t, j], v) for t in range(neighbours.TREES) for v in forest.sorted[t]) for j in range(len(queries))]
+    assert forest.longest(strings).tolist() == want and want[:5] == [neighbours.BITS] * 5
 
 
 def test_license_labels_are_told_apart():
