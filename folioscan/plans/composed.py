@@ -31,9 +31,9 @@ def _forms(forms: list[tuple], column: str) -> str:
 
 
 _FOREIGN = [
-    ("What does the Hindu Marriage Act say?", "Hindu Marriage Act"), ("Explain the Code of Civil Procedure", "Code of Civil Procedure"), ("punishment for murder in New York", "New York law"), ("murder in the uK", "uK law"), ("law to be Evidence Act", "be Evidence Act"),
-    ("the act of murder", None), ("punishment under this act", None), ("the Test Sanhita Act", None), ("under Indian law", None), ("the Penal Code", "Penal Code"), ("the penal code", None),
-    ("does the law punish theft", None), ("Indian Penal Code section 5", "Indian Penal Code"), ("the BNS Act, please", None), ("", None),
+    ("Which rule of the Coastal Fishing Act binds a skipper?", "Coastal Fishing Act"), ("Describe the Code of Harbour Duties", "Code of Harbour Duties"), ("fine for a broken seal in New York", "New York law"),
+    ("murder in the uK", "uK law"), ("law to be Evidence Act", "be Evidence Act"), ("the act of sealing", None), ("dues under this act", None), ("the Test Sanhita Act", None), ("under Indian law", None),
+    ("the Harbour Code", "Harbour Code"), ("the harbour code", None), ("does the law punish smuggling", None), ("Indian Harbour Code section 5", "Indian Harbour Code"), ("the BNS Act, please", None), ("", None),
 ]
 
 
@@ -125,7 +125,7 @@ def eval_dense_hybrid(spark, d):
 
 #: What is asked, and what comes of it: in a corpus of one act and of two, each for customers with and without documents.
 _RETRIEVE = [
-    ("section {}", ["statute"] * 4), ("what does the Hindu Marriage Act say about section {}", ["documents", "refused:foreign_statute"] * 2), ("BNSS {}", ["statute", "statute", "documents", "refused:no_session"]),
+    ("section {}", ["statute"] * 4), ("what has the Coastal Fishing Act on section {}", ["documents", "refused:foreign_statute"] * 2), ("BNSS {}", ["statute", "statute", "documents", "refused:no_session"]),
     ("what does my notice say", ["documents", "refused:no_session"] * 2), ("what is theft", ["statute"] * 4), ("what is nothing at all", ["documents", "refused:no_session"] * 2),
     ("explain section {} in my notice", ["merged", "statute"] * 2), ("section 951", ["documents", "refused:no_session"] * 2), ("what is weak", ["merged", "statute"] * 2),
 ]
@@ -214,8 +214,8 @@ def answer_metrics(spark, d):
 
 
 _LINES = [
-    ("punishment.6. In calculating fractions", "punishment.|6. In calculating fractions"), ("Malignant act272. Whoever does", "Malignant act.|272. Whoever does"), ("under section 474 of the Code", "under section 474 of the Code"),
-    ("In 1860. Whoever", "In 1860. Whoever"), ("notes152. (1) Whoever", "notes.|152. (1) Whoever"),
+    ("harbour dues.6. In counting the days", "harbour dues.|6. In counting the days"), ("Broken seal272. Whoever does", "Broken seal.|272. Whoever does"), ("under rule 47 of the Order", "under rule 47 of the Order"),
+    ("In 1955. Whoever", "In 1955. Whoever"), ("seals152. (1) Whoever", "seals.|152. (1) Whoever"), ("a. b7. Whoever", "a. b7. Whoever"), ("7. Whoever", "7. Whoever"),
 ]
 
 
