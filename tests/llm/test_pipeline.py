@@ -1,6 +1,9 @@
 """The pipeline as a whole and stage by stage."""
 
+import random
+
 import corpus_pipeline
+import pytest
 from pyspark.sql import functions as F
 
 
@@ -28,3 +31,38 @@ def test_empty(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_odd_rows(spark, data, odd, odd_rows, empty, name):
+    """Nulls in any column, empty and very long texts, ties, repeated rows and ids, clashing names; empty tables."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    out = stage(spark, odd, data)
+    assert set(odd.columns) <= set(out.columns) and (name == "mix_sources" or out.columns == odd.columns)
+    rows, texts = out.collect(), [(r[0], r[1]) for r in odd_rows]
+    ids = [r.doc_id for r in rows]
+    none = stage(spark, empty, data)
+    assert none.count() == 0 and none.columns == out.columns
+    if name == "language_id":
+        assert all(any(c.isalpha() for c in r.text) for r in rows) and 7 in ids and ids.count(11) in (0, 2) and not {4, 5, 6, 8} & set(ids)
+    elif name == "line_dedup":
+        assert sorted(map(repr, ids)) == sorted(repr(i) for i, _ in texts)
+        kept = [line for r in rows for line in (r.text or "").split("\n") if line.strip()]
+        assert len(kept) == len(set(kept)) or {i for i, t in texts if (i, t) in [(r.doc_id, r.text) for r in rows]}
+        assert all(r.text is None for r in rows if r.doc_id == 4)
+    elif name == "simhash_dedup":
+        assert 1 in ids and not {2, 11} & set(ids) and ids.count(None) == 2 and len({4, 5, 6} & set(ids)) == 1 and {7, 9} <= set(ids)
+    elif name == "decontaminate":
+        assert sorted(map(repr, ids)) == sorted(repr(i) for i, _ in texts)
+    else:
+        assert all((r.text or "").strip() for r in rows) and all(r["copy"] <= 3 for r in rows)
+
+
+def test_language_of_signs_only_goes(spark, data):
+    """A document whose text has letters of no language that was learned is not sure of any."""
+    rng = random.Random(1)
+    words = ["the cat sat on the mat and looked at birds in the old garden", "die katze lag auf der matte und schlief sehr lange dort"]
+    rows = [(i, " ".join(rng.sample(words[i % 2].split(), 8)), "en" if i % 2 == 0 else "de", "s", 0) for i in range(60)] + [(100, "12 34 ++ ==", "en", "s", 0)]
+    out = corpus_pipeline.identify_language(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), data)
+    got = {r.doc_id for r in out.collect()}
+    assert 100 not in got and len(got) >= 50
