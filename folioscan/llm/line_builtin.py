@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.line_rules import BANDS, FINE, FINE_MASKS, MASKS, PICKS, ROWS, SHINGLE
+from folioscan.llm.line_rules import BANDS, MASKS, ROWS, SHINGLE
 
 #: Characters by which the pieces that shingles are taken from advance.
 PIECE = 8
@@ -18,21 +18,25 @@ def shingles(line: Column) -> Column:
 
 
 def shingle_hashes(lines: DataFrame, *keep: str) -> DataFrame:
-    """(lid, x) and ``keep``: the hash of every shingle of every line.
+    """(lid, x0 ... x7) and ``keep``: the hashes of ``PIECE`` shingles in a row; a line's last shingle repeats where there are fewer.
 
-    Lines fall into overlapping pieces first, so that taking a shingle costs a piece's length, not the line's.
+    Four bytes hold any character, so taking a shingle costs its own length, wherever it stands in the line.
     """
-    cut = rf"(?s)(?=(.{{1,{PIECE + SHINGLE - 1}}})).{{1,{PIECE}}}"
-    pieces = lines.select("lid", *keep, (F.length("line") < SHINGLE).alias("__short"), F.explode(F.regexp_extract_all("line", F.lit(cut), F.lit(1))).alias("__p"))
-    last = F.when(F.col("__short"), 1).otherwise(F.length("__p") - (SHINGLE - 1))
-    places = pieces.where(last > 0).select("lid", *keep, "__p", F.explode(F.sequence(F.lit(1), last)).alias("__i"))
-    return places.select("lid", *keep, F.xxhash64(F.substring("__p", F.col("__i"), F.lit(SHINGLE))).alias("x"))
+    wide = lines.select("lid", *keep, F.encode("line", "UTF-32").alias("__u"))
+    last = F.greatest((F.length("__u") / 4).cast("int") - (SHINGLE - 1), F.lit(1))
+    places = wide.withColumn("__last", last).select("lid", *keep, "__u", "__last", F.explode(F.sequence(F.lit(1), "__last", F.lit(PIECE))).alias("__i"))
+    begin = [F.least(F.col("__i") + k, F.col("__last")) * 4 - 3 for k in range(PIECE)]
+    return places.select("lid", *keep, *[F.xxhash64(F.substring("__u", at, F.lit(4 * SHINGLE))).alias(f"x{k}") for k, at in enumerate(begin)])
+
+
+def _minimum(mask: int) -> Column:
+    """The minimum of all of a line's shingle hashes under an XOR mask: first of each piece's, then of the pieces'."""
+    return F.min(F.least(*[F.col(f"x{k}").bitwiseXOR(F.lit(_signed(mask))) for k in range(PIECE)]))
 
 
 def _minima(lines: DataFrame) -> DataFrame:
     """(lid, m0 ... m17): minima of all of each line's shingle hashes under fixed XOR masks."""
-    minima = [F.min(F.col("x").bitwiseXOR(F.lit(_signed(c)))).alias(f"m{i}") for i, c in enumerate(MASKS)]
-    return shingle_hashes(lines).groupBy("lid").agg(*minima)
+    return shingle_hashes(lines).groupBy("lid").agg(*[_minimum(c).alias(f"m{i}") for i, c in enumerate(MASKS)])
 
 
 def band_rows(lines: DataFrame) -> DataFrame:
@@ -50,13 +54,10 @@ def band_rows(lines: DataFrame) -> DataFrame:
     return signed.select("lid", sketch.alias("sk"), F.explode(F.array(*entries)).alias("e")).select("lid", "sk", "e.key", "e.o")
 
 
-def fine_rows(open_: DataFrame, lines: DataFrame) -> DataFrame:
-    """(lid, root, bits, e): three bits of each of ``FINE`` fresh minima, and for each fine band its hash and what orders its group."""
-    minima = [F.min(F.col("x").bitwiseXOR(F.lit(_signed(c)))).alias(f"m{i}") for i, c in enumerate(FINE_MASKS)]
-    signed = shingle_hashes(lines.select("lid", "line").join(open_.select("lid", "root"), "lid"), "root").groupBy("lid", "root").agg(*minima)
-    bits = F.transform(F.array(*[f"m{i}" for i in range(FINE)]), lambda m: m.bitwiseAND(F.lit(7).cast("long")))
-    entries = [F.struct(F.xxhash64(F.lit(b), *[f"m{i}" for i in pick]).alias("key"), F.col(f"m{(pick[-1] + 1) % FINE}").alias("o")) for b, pick in enumerate(PICKS)]
-    return signed.select("lid", "root", bits.alias("bits"), F.array(*entries).alias("e"))
+def hash_rows(lines: DataFrame, *keep: str) -> DataFrame:
+    """(lid, x) and ``keep``: each distinct shingle hash of each line."""
+    runs = shingle_hashes(lines, *keep)
+    return runs.select("lid", *keep, F.explode(F.array(*[f"x{k}" for k in range(PIECE)])).alias("x")).distinct()
 
 
 def shingle_set(line: Column) -> Column:
@@ -70,9 +71,8 @@ def shingle_set(line: Column) -> Column:
 
 def similar(both: DataFrame, least: float) -> DataFrame:
     """(a, b) of those rows (a, b, ta, tb) whose lines' shingle sets have a Jaccard similarity of ``least`` or more."""
-    # Within functions of one row each set is made once; as columns they would be made again at each use.
-    sets = F.struct(*[shingle_set(F.col(t)).alias(t) for t in ("ta", "tb")])
-    counts = F.transform(F.array(sets), lambda p: F.struct(
-        F.size(F.array_intersect(p["ta"], p["tb"])).alias("common"), F.size(F.array_union(p["ta"], p["tb"])).alias("all")
-    ))
-    return both.where(F.exists(counts, lambda n: n["common"] >= least * n["all"])).select("a", "b")
+    # Each step is a projection of its own, so that each set is made once; the generator keeps them apart.
+    sets = both.select("a", "b", *[F.array_distinct(shingle_set(F.col(t))).alias(x) for t, x in (("ta", "xa"), ("tb", "xb"))])
+    counts = sets.select("a", "b", F.size(F.array_intersect("xa", "xb")).alias("common"), (F.size("xa") + F.size("xb")).alias("sum"))
+    yes = (1 + least) * F.col("common") >= least * F.col("sum") - 1e-9
+    return counts.select("a", "b", F.explode(F.when(yes, F.array(F.lit(1)))).alias("__yes")).select("a", "b")

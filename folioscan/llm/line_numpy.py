@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.line_rules import BANDS, FINE, FINE_MASKS, MASKS, PICKS, ROWS, SHINGLE
+from folioscan.llm.line_rules import BANDS, MASKS, ROWS, SHINGLE
 from folioscan.shipping import ship
 
 #: Characters whose hashes are made at a time.
@@ -116,12 +116,6 @@ def band_keys(m: np.ndarray, picks: Sequence[Sequence[int]]) -> np.ndarray:
     return keys
 
 
-def _lists(values: np.ndarray, of: pa.DataType) -> pa.Array:
-    """The rows of a two-dimensional array as lists."""
-    offsets = np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(values).reshape(-1), type=of))
-
-
 def band_rows(lines: DataFrame) -> DataFrame:
     """(lid, sk, key, o), a row for each line and band: the band's hash, what orders its group, and the line's sketch.
 
@@ -144,24 +138,6 @@ def band_rows(lines: DataFrame) -> DataFrame:
     return lines.select("lid", F.col("line").cast("binary").alias("line")).mapInArrow(run, "lid long, sk long, key long, o int")
 
 
-def fine_rows(open_: DataFrame, lines: DataFrame) -> DataFrame:
-    """(lid, root, bits, e): three bits of each of ``FINE`` fresh minima, and for each fine band its hash and what orders its group."""
-    ship(lines.sparkSession)
-
-    def run(batches):
-        for batch in batches:
-            m = minima(batch.column("line").to_pylist(), FINE_MASKS)
-            order = (m[:, [(pick[-1] + 1) % FINE for pick in PICKS]] >> np.uint32(8)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([
-                batch.column("lid"), batch.column("root"), _lists((m & np.uint32(7)).astype(np.int8), pa.int8()),
-                _lists(band_keys(m, PICKS).view(np.int64), pa.int64()), _lists(order, pa.int32()),
-            ], ["lid", "root", "bits", "key", "o"])
-
-    both = lines.select("lid", F.col("line").cast("binary").alias("line")).join(open_.select("lid", "root"), "lid")
-    signed = both.select("lid", "root", "line").mapInArrow(run, "lid long, root long, bits array<tinyint>, key array<long>, o array<int>")
-    return signed.select("lid", "root", "bits", F.arrays_zip("key", "o").alias("e"))
-
-
 def similar(both: DataFrame, least: float) -> DataFrame:
     """(a, b) of those rows (a, b, ta, tb) whose lines' shingle sets have a Jaccard similarity of ``least`` or more."""
     ship(both.sparkSession)

@@ -6,11 +6,5 @@ SHINGLE = 8
 BANDS = 6
 ROWS = 3
 SIMILAR = 0.8
-#: Minima of the second look at groups that stay in several components, and those of each of its bands.
-FINE = 64
-PICK = 9
 #: XOR constants of the signatures: multiples of the golden ratio's 64-bit fraction.
 MASKS = [0x9E3779B97F4A7C15 * (i + 1) % (1 << 64) for i in range(BANDS * ROWS)]
-FINE_MASKS = [0x9E3779B97F4A7C15 * (BANDS * ROWS + i + 1) % (1 << 64) for i in range(FINE)]
-#: The minima of each fine band, at a stride of its own, so any two bands share few.
-PICKS = [[(b + (1 + b % 31) * 2 * r + r) % FINE for r in range(PICK)] for b in range(FINE)]

@@ -1,7 +1,7 @@
 """Fuzzy line dedup: MinHash over character shingles, banding, exact Jaccard, union-find.
 
 Two styles make signatures and verify pairs, by the same rules: built-in functions only (``line_builtin``, which the query and the pipeline use), and
-numpy in Arrow batches (``line_numpy``), which needs about three fifths of the CPU time; all else is DataFrame functions. Lines are a text's pieces between line feeds, trimmed. Equal
+numpy in Arrow batches (``line_numpy``); all else is DataFrame functions. Lines are a text's pieces between line feeds, trimmed. Equal
 lines collapse first (combined in tasks before the shuffle), so a line that stands in a third of all documents
 is one row of the table of distinct lines, which is stored bucketed by line id and not shuffled again.
 
@@ -16,10 +16,11 @@ with the group's first: all pairs of a small group, and a group of near copies c
 bits of every minimum travel along and drop pairs that differ in most minima; all other candidates are verified by the
 exact Jaccard similarity of both lines' shingle sets (0.8 or more) before they become edges of the components.
 
-A larger group that these edges leave in several components (lines of one template, say) is not left at that: its
-lines are signed anew, by ``FINE`` minima of all their shingles, and banded by ``PICK`` of these at a time. Such bands part lines
-that share a template only (two at a similarity of 0.6 share one of a hundred), a pair at 0.8 has 64 chances of 0.13 to share one,
-and all that share one are paired as before, whatever their number.
+A larger group that these edges leave in several components (lines of one template, say) is not left at that. Of a group
+of up to ``WHOLE`` lines all pairs of different components go the same way, through sketch and verification. The lines of still larger groups are joined exactly, by
+prefixes of their shingles in order of rarity: of two similar lines the smaller set's first ninth and the larger set's first
+fifth share a shingle, so each pair of different components is found, and boilerplate, which comes last in that order, joins
+nothing. Of a shingle's lines only those outside its most frequent component meet all others.
 
 Of each component one line stays: the first in the document with the smallest id. Line ids are 64-bit
 hashes of the line; with a billion distinct lines the chance of any collision is 3 %.
@@ -46,8 +47,8 @@ from folioscan.llm.line_rules import BANDS, ROWS, SHINGLE, SIMILAR
 BACK = 3
 #: A pair stays a candidate if at most so many of its 18 minima differ in their last three bits.
 APART = 9
-#: Of the minima of the second look, the least that agree in three bits.
-AGREE = 44
+#: Groups of up to so many lines are compared pair by pair where they stay in several components; larger ones are joined by prefixes.
+WHOLE = 128
 _THIRDS = sum(1 << 3 * i for i in range(BANDS * ROWS))
 _LAST = (1 << 63) - 1
 
@@ -85,45 +86,65 @@ def neighbours(lines: DataFrame, style: ModuleType = line_builtin) -> DataFrame:
     ).where("place > 1")
 
 
-def _pairs(rows: DataFrame, partners: Column, apart: int) -> DataFrame:
-    """(a, b), a < b, of each row's line and those of ``partners`` whose sketches differ in at most ``apart`` minima."""
-    pairs = rows.select("lid", "sk", F.explode(partners).alias("p")).where("lid <> p.lid")
-    x = F.col("sk").bitwiseXOR(F.col("p.sk"))
-    differ = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(_THIRDS))
-    return pairs.where(F.bit_count(differ) <= apart).select(
-        F.least("lid", "p.lid").alias("a"), F.greatest("lid", "p.lid").alias("b")
-    ).distinct()
+def _apart(x: str, y: str) -> Column:
+    """How many of the minima of two sketches differ."""
+    z = F.col(x).bitwiseXOR(F.col(y))
+    return F.bit_count(z.bitwiseOR(F.shiftrightunsigned(z, 1)).bitwiseOR(F.shiftrightunsigned(z, 2)).bitwiseAND(F.lit(_THIRDS)))
 
 
 def candidate_pairs(near: DataFrame) -> DataFrame:
     """(a, b), a < b, of lines that stand near each other, or with the first, in the group of a band."""
-    return _pairs(near, F.concat("prior", F.array("top")), APART)
+    pairs = near.select("lid", "sk", F.explode(F.concat("prior", F.array("top"))).alias("p")).where("lid <> p.lid")
+    return pairs.where(_apart("sk", "p.sk") <= APART).select(F.least("lid", "p.lid").alias("a"), F.greatest("lid", "p.lid").alias("b")).distinct()
 
 
 def unconnected(near: DataFrame, edges: DataFrame) -> DataFrame:
-    """(lid, root) of the members of all larger groups that ``edges`` leave in several components."""
-    large = near.where(F.col("place") > BACK + 2).select("key").distinct()
-    inside = near.join(large, "key", "left_semi").select("key", F.explode(F.array("lid", "top.lid")).alias("lid")).distinct()
+    """(key, lid, sk, root, n) of the members of all larger groups that ``edges`` leave in several components; n: the group's size."""
+    # A group of up to ``BACK`` + 2 lines has met pair by pair already.
+    large = near.where(F.col("place") > BACK + 2).groupBy("key").agg(F.max("place").alias("n"))
+    inside = near.join(large, "key").select("key", "n", F.explode(F.array(F.struct("lid", "sk"), "top")).alias("e")).select("key", "n", "e.*").distinct()
     roots = components(edges).withColumnRenamed("node", "lid")
-    named = materialize(inside.join(roots, "lid", "left").select("key", "lid", F.coalesce("root", "lid").alias("root")))
+    named = materialize(inside.join(roots, "lid", "left").select("key", "lid", "sk", F.coalesce("root", "lid").alias("root"), "n"))
     split = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    return materialize(named.join(split, "key", "left_semi").select("lid", "root").distinct())
-
-
-def finer_pairs(open_: DataFrame, lines: DataFrame, style: ModuleType = line_builtin) -> DataFrame:
-    """(a, b) of open lines that share a fine band, of fresh minima of all shingles."""
-    rows = materialize(style.fine_rows(open_, lines))
-    group = Window.partitionBy("key").orderBy("o", "lid")
-    own = F.struct("lid", "root")
-    placed = rows.select("lid", "root", F.explode("e").alias("e")).select("lid", "root", "e.key", "e.o").select(
-        "lid", "root", F.first(own).over(group.rowsBetween(Window.unboundedPreceding, 0)).alias("top"),
-        F.array(*[F.lag(own, k).over(group) for k in range(1, BACK + 1)]).alias("prior"),
-    )
-    pairs = placed.select("lid", "root", F.explode(F.concat("prior", F.array("top"))).alias("p")).where("root <> p.root")
-    pairs = pairs.select(F.least("lid", "p.lid").alias("a"), F.greatest("lid", "p.lid").alias("b")).distinct()
-    sketch = rows.select("lid", "bits")
-    both = pairs.join(sketch.toDF("a", "xa"), "a").join(sketch.toDF("b", "xb"), "b")
-    return both.where(F.size(F.filter(F.zip_with("xa", "xb", lambda x, y: x == y), lambda e: e)) >= AGREE).select("a", "b")
+    return materialize(named.join(split, "key", "left_semi"))
+
+
+def group_pairs(open_: DataFrame) -> DataFrame:
+    """(a, b), a < b, of all lines of different roots in one group whose sketches don't rule them out."""
+    own, other = (open_.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("lid", "sk", "root")]) for x in "ab")
+    both = own.join(other, "key").where((F.col("lid_a") < F.col("lid_b")) & (F.col("root_a") != F.col("root_b")))
+    return both.where(_apart("sk_a", "sk_b") <= APART).select(F.col("lid_a").alias("a"), F.col("lid_b").alias("b")).distinct()
+
+
+def prefix_pairs(open_: DataFrame, lines: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """(a, b), a < b, of different roots among ``open_`` (lid, root): all that can have a similarity of ``least``, few others."""
+    runs = materialize(line_builtin.hash_rows(lines.select("lid", "line").join(open_, "lid"), "root"))
+    by_root = runs.groupBy("x", "root").agg(F.count("*").alias("m"))
+    rarity = by_root.groupBy("x").agg(F.sum("m").alias("n"), F.count("*").alias("k"), F.max_by("root", F.struct("m", "root")).alias("main"))
+    line = Window.partitionBy("lid")
+    placed = runs.join(rarity, "x").withColumn("at", F.row_number().over(line.orderBy("n", "x")) - 1).withColumn("size", F.count("*").over(line))
+    # A little room for rounding; a prefix that is too long by one shingle only makes candidates.
+    size = F.col("size")
+    probe, index = size - F.ceil(least * size - 1e-6) + 1, size - F.ceil(2 * least / (1 + least) * size - 1e-6) + 1
+    first = materialize(placed.where((F.col("at") < probe) & (F.col("k") > 1)).select(
+        "lid", "root", "size", "at", "x", (F.col("at") < index).alias("short"), (F.col("root") == F.col("main")).alias("main")
+    ))
+    names = ["lid", "root", "size", "at", "x", "main"]
+    small = first.where("short").select(*[F.col(c).alias(c if c == "x" else f"{c}_a") for c in names])
+    great = first.select(*[F.col(c).alias(c if c == "x" else f"{c}_b") for c in names])
+    # At its first common shingle a pair can share no more than what is left of either.
+    shared = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))
+    fits = (F.col("root_a") != F.col("root_b")) & ((F.col("size_a") < F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("lid_a") < F.col("lid_b"))))
+    fits &= (F.col("size_a") >= least * F.col("size_b") - 1e-6) & ((1 + least) * shared >= least * (F.col("size_a") + F.col("size_b")) - 1e-6)
+    both = [small.where("not main_a").join(great, "x").where(fits), small.where("main_a").join(great.where("not main_b"), "x").where(fits)]
+    return both[0].union(both[1].select(*both[0].columns)).select(F.least("lid_a", "lid_b").alias("a"), F.greatest("lid_a", "lid_b").alias("b")).distinct()
+
+
+def finer_pairs(open_: DataFrame, lines: DataFrame) -> DataFrame:
+    """(a, b) of open lines (key, lid, sk, root, n) of different roots: all pairs of a group that may be similar, however large it is."""
+    pairs = group_pairs(open_.where(F.col("n") <= WHOLE))
+    rest = open_.where(F.col("n") > WHOLE).select("lid", "root").distinct()
+    return pairs if rest.isEmpty() else pairs.union(prefix_pairs(rest, lines)).distinct()
 
 
 def similar_pairs(pairs: DataFrame, lines: DataFrame, style: ModuleType = line_builtin) -> DataFrame:
@@ -143,7 +164,7 @@ def near_line_edges(lines: DataFrame, style: ModuleType = line_builtin) -> DataF
     open_ = unconnected(near, edges)
     if open_.isEmpty():
         return edges
-    return edges.union(materialize(similar_pairs(finer_pairs(open_, lines, style), lines, style)))
+    return edges.union(materialize(similar_pairs(finer_pairs(open_, lines), lines, style)))
 
 
 def dropped_lines(docs: DataFrame, native: bool = True) -> DataFrame:

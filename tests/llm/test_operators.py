@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from folioscan.llm import brown, components, decontaminate, langid, licenses, line_numpy, line_rules, lines, mixture, neighbours, pii, quality, queries, simhash
+from folioscan.llm import brown, components, decontaminate, langid, licenses, line_builtin, line_numpy, line_rules, lines, mixture, neighbours, pii, quality, queries, simhash
 
 TABLES = "documents embeddings benchmark labels".split()
 
@@ -206,6 +206,31 @@ def test_lines_of_one_template(spark, native):
     assert {r.doc_id for r in got.collect()} == {i for i, _ in want}
 
 
+def test_lines_that_share_a_band_all_meet(spark):
+    """Lines close to 0.8 by their template alone: no similar pair of a band's group stays apart, in groups below and beyond ``WHOLE`` lines."""
+    rng = random.Random(8)
+    w = lambda k: "".join(rng.choice("abcdefghijklmnop") for _ in range(k))
+    texts = []
+    for n in (60, 300):
+        frame = w(300)
+        for k in range(n):
+            own = w(40)
+            texts += [frame + own] + [frame + own[:15] + w(25)] * (k % 3 == 0)
+    table = spark.createDataFrame(list(enumerate(texts)), "lid long, line string")
+    sets = [{t[i : i + 8] for i in range(len(t) - 7)} for t in texts]
+    groups = defaultdict(list)
+    for r in line_builtin.band_rows(table).collect():
+        groups[r.key].append(r.lid)
+    assert max(map(len, groups.values())) > 128
+    pairs = {(a, b) for g in groups.values() for a in g for b in g if a < b}
+    want = {(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    root = list(range(len(texts)))
+    for a, b in lines.near_line_edges(table).collect():
+        assert len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+        root = [root[a] if r == root[b] else r for r in root]
+    assert len(want) > 100 and not [(a, b) for a, b in want if root[a] != root[b]]
+
+
 # --- 3 language
 
 def test_language(spark, data, documents):
