@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.line_rules import BANDS, MASKS, ROWS, SHINGLE
+from folioscan.llm.line_rules import BANDS, MASKS, ROWS, SHINGLE, WORDS
 
 #: Characters by which the pieces that shingles are taken from advance.
 PIECE = 8
@@ -40,18 +40,23 @@ def _minima(lines: DataFrame) -> DataFrame:
 
 
 def band_rows(lines: DataFrame) -> DataFrame:
-    """(lid, sk, key, o) for each signed line and band: the line's sketch, the band's hash, and what orders its group.
+    """(lid, key, o) for each signed line and band: the band's hash, and what orders its group.
 
-    The next band's first minimum orders a group: short groups of bits suffice, and compress well. Three low bits of each minimum make the sketch.
+    The next band's first minimum orders a group: short groups of bits suffice, and compress well.
     """
     signed = _minima(lines)
     bands = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]
     after = [F.col(f"m{(b + 1) % BANDS * ROWS}") for b in range(BANDS)]
-    sketch = F.lit(0).cast("long")
-    for i in range(BANDS * ROWS):
-        sketch = sketch.bitwiseOR(F.shiftleft(F.col(f"m{i}").bitwiseAND(F.lit(7).cast("long")), 3 * i))
     entries = [F.struct(k.alias("key"), F.shiftrightunsigned(o, 40).cast("int").alias("o")) for k, o in zip(bands, after)]
-    return signed.select("lid", sketch.alias("sk"), F.explode(F.array(*entries)).alias("e")).select("lid", "sk", "e.key", "e.o")
+    return signed.select("lid", F.explode(F.array(*entries)).alias("e")).select("lid", "e.key", "e.o")
+
+
+def marks(lines: DataFrame) -> DataFrame:
+    """(lid, size, w0, w1 ...): how many shingles each line has, repeats counted, and ``WORDS`` words with a bit set for every shingle, by its hash."""
+    sized = lines.select("lid", "line", F.greatest(F.length("line") - (SHINGLE - 1), F.lit(1)).alias("size"))
+    x = shingle_hashes(sized, "size").select("lid", "size", F.explode(F.array(*[f"x{k}" for k in range(PIECE)])).alias("x"))
+    words = x.groupBy("lid", "size", F.pmod("x", F.lit(WORDS)).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, int(x >> 20 & 63))")).alias("bits"))
+    return words.groupBy("lid", "size").agg(*[F.coalesce(F.bit_or(F.when(F.col("at") == k, F.col("bits"))), F.lit(0).cast("long")).alias(f"w{k}") for k in range(WORDS)])
 
 
 def hash_rows(lines: DataFrame, *keep: str) -> DataFrame:

@@ -117,9 +117,9 @@ def band_keys(m: np.ndarray, picks: Sequence[Sequence[int]]) -> np.ndarray:
 
 
 def band_rows(lines: DataFrame) -> DataFrame:
-    """(lid, sk, key, o), a row for each line and band: the band's hash, what orders its group, and the line's sketch.
+    """(lid, key, o), a row for each line and band: the band's hash, and what orders its group.
 
-    The next band's first minimum orders a group: 24 bits of it suffice and compress well. Three low bits of each minimum make the sketch.
+    The next band's first minimum orders a group: 24 bits of it suffice and compress well.
     """
     ship(lines.sparkSession)
     picks = [range(b * ROWS, (b + 1) * ROWS) for b in range(BANDS)]
@@ -127,15 +127,12 @@ def band_rows(lines: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             m = minima(batch.column("line").to_pylist(), MASKS)
-            sketch = np.zeros(len(m), np.int64)
-            for i in range(BANDS * ROWS):
-                sketch |= (m[:, i] & np.uint32(7)).astype(np.int64) << 3 * i
             lid = batch.column("lid").to_numpy()
             for b, key in enumerate(band_keys(m, picks).view(np.int64).T):
                 order = (m[:, (b + 1) % BANDS * ROWS] >> np.uint32(8)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (lid, sketch, np.ascontiguousarray(key), order)], ["lid", "sk", "key", "o"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (lid, np.ascontiguousarray(key), order)], ["lid", "key", "o"])
 
-    return lines.select("lid", F.col("line").cast("binary").alias("line")).mapInArrow(run, "lid long, sk long, key long, o int")
+    return lines.select("lid", F.col("line").cast("binary").alias("line")).mapInArrow(run, "lid long, key long, o int")
 
 
 def similar(both: DataFrame, least: float) -> DataFrame:

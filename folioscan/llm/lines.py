@@ -12,12 +12,13 @@ only makes candidates.
 ``BANDS`` bands of ``ROWS`` minima make candidates: at a Jaccard similarity of 0.8 a pair shares a
 band with probability 0.986, above 0.9 with 0.9996. Within a band's group lines are sorted by a further
 minimum, so that similar lines stand side by side, and each is paired with the ``BACK`` before it and
-with the group's first: all pairs of a small group, and a group of near copies costs its size, not its square. Three
-bits of every minimum travel along and drop pairs that differ in most minima; all other candidates are verified by the
-exact Jaccard similarity of both lines' shingle sets (0.8 or more) before they become edges of the components.
+with the group's first: all pairs of a small group, and a group of near copies costs its size, not its square. Each line of such
+a group is marked once, by a bit among ``64 * WORDS`` for every shingle: no two shingle sets differ in fewer shingles than their marks in bits,
+so a pair whose marks differ in too many can't be similar and goes, and no other does. What is left is verified by the
+exact Jaccard similarity of both lines' shingle sets (0.8 or more) before it becomes edges of the components.
 
 A larger group that these edges leave in several components (lines of one template, say) is not left at that. Of a group
-of up to ``WHOLE`` lines all pairs of different components go the same way, through sketch and verification. The lines of still larger groups are joined exactly, by
+of up to ``WHOLE`` lines all pairs of different components that were not compared yet go the same way, through marks and verification. The lines of still larger groups are joined exactly, by
 prefixes of their shingles in order of rarity: of two similar lines the smaller set's first ninth and the larger set's first
 fifth share a shingle, so each pair of different components is found, and boilerplate, which comes last in that order, joins
 nothing. Of a shingle's lines only those outside its most frequent component meet all others.
@@ -41,15 +42,12 @@ from pyspark.sql import functions as F
 from folioscan.llm import line_builtin, line_numpy
 from folioscan.llm.common import materialize, scratch_dir
 from folioscan.llm.components import components
-from folioscan.llm.line_rules import BANDS, ROWS, SHINGLE, SIMILAR
+from folioscan.llm.line_rules import SHINGLE, SIMILAR, WORDS
 
 #: Partners before it that a line of a band's group is paired with.
 BACK = 3
-#: A pair stays a candidate if at most so many of its 18 minima differ in their last three bits.
-APART = 9
 #: Groups of up to so many lines are compared pair by pair where they stay in several components; larger ones are joined by prefixes.
 WHOLE = 128
-_THIRDS = sum(1 << 3 * i for i in range(BANDS * ROWS))
 _LAST = (1 << 63) - 1
 
 
@@ -65,55 +63,60 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 def distinct_lines(docs: DataFrame) -> DataFrame:
     """(lid, line, doc, n) of every distinct line, stored bucketed by lid."""
-    spark = docs.sparkSession
-    found = occurrences(docs).groupBy("lid").agg(F.max("line").alias("line"), F.min("doc").alias("doc"), F.count("*").alias("n"))
+    return _bucketed(occurrences(docs).groupBy("lid").agg(F.max("line").alias("line"), F.min("doc").alias("doc"), F.count("*").alias("n")))
+
+
+def _bucketed(lines: DataFrame) -> DataFrame:
+    """``lines``, stored bucketed by lid."""
+    spark = lines.sparkSession
     name = f"folioscan_lines_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (found.write.option("path", scratch_dir(spark)).option("compression", "zstd").bucketBy(buckets, "lid")
+    (lines.write.option("path", scratch_dir(spark)).option("compression", "zstd").bucketBy(buckets, "lid")
      .format("parquet").saveAsTable(name))
     return spark.table(name)
 
 
 def neighbours(lines: DataFrame, style: ModuleType = line_builtin) -> DataFrame:
-    """(key, lid, place, sk, top, prior): the groups of the bands, but for their first members, which are ``top``."""
+    """(key, lid, place, top, prior): the groups of the bands, but for their first members, which are ``top``."""
     rows = style.band_rows(lines)
     group = Window.partitionBy("key").orderBy("o", "lid")
-    own = F.struct("lid", "sk")
     return rows.select(
-        "key", "lid", F.row_number().over(group).alias("place"), "sk",
-        F.first(own).over(group.rowsBetween(Window.unboundedPreceding, 0)).alias("top"),
-        F.array(*[F.lag(own, k).over(group) for k in range(1, BACK + 1)]).alias("prior"),
+        "key", "lid", F.row_number().over(group).alias("place"),
+        F.first("lid").over(group.rowsBetween(Window.unboundedPreceding, 0)).alias("top"),
+        F.array(*[F.lag("lid", k).over(group) for k in range(1, BACK + 1)]).alias("prior"),
     ).where("place > 1")
 
 
-def _apart(x: str, y: str) -> Column:
-    """How many of the minima of two sketches differ."""
-    z = F.col(x).bitwiseXOR(F.col(y))
-    return F.bit_count(z.bitwiseOR(F.shiftrightunsigned(z, 1)).bitwiseOR(F.shiftrightunsigned(z, 2)).bitwiseAND(F.lit(_THIRDS)))
-
-
 def candidate_pairs(near: DataFrame) -> DataFrame:
     """(a, b), a < b, of lines that stand near each other, or with the first, in the group of a band."""
-    pairs = near.select("lid", "sk", F.explode(F.concat("prior", F.array("top"))).alias("p")).where("lid <> p.lid")
-    return pairs.where(_apart("sk", "p.sk") <= APART).select(F.least("lid", "p.lid").alias("a"), F.greatest("lid", "p.lid").alias("b")).distinct()
+    pairs = near.select("lid", F.explode(F.concat("prior", F.array("top"))).alias("p")).where("lid <> p")
+    return pairs.select(F.least("lid", "p").alias("a"), F.greatest("lid", "p").alias("b")).distinct()
+
+
+def members(near: DataFrame, lines: DataFrame) -> DataFrame:
+    """(lid, line, size, w0, w1 ...) of every line of a band's group, with its marks, stored bucketed by lid."""
+    inside = near.select(F.explode(F.array("lid", "top")).alias("lid")).distinct()
+    # The ids are few and short: they are hashed, the lines need no sort.
+    own = _bucketed(lines.select("lid", "line").join(inside.hint("shuffle_hash"), "lid", "left_semi"))
+    return _bucketed(own.join(line_builtin.marks(own), "lid"))
 
 
 def unconnected(near: DataFrame, edges: DataFrame) -> DataFrame:
-    """(key, lid, sk, root, n) of the members of all larger groups that ``edges`` leave in several components; n: the group's size."""
-    # A group of up to ``BACK`` + 2 lines has met pair by pair already.
+    """(key, lid, root, n) of the members of all larger groups that ``edges`` leave in several components; n: the group's size."""
+    # All pairs of a group of up to ``BACK`` + 2 lines are candidates already.
     large = near.where(F.col("place") > BACK + 2).groupBy("key").agg(F.max("place").alias("n"))
-    inside = near.join(large, "key").select("key", "n", F.explode(F.array(F.struct("lid", "sk"), "top")).alias("e")).select("key", "n", "e.*").distinct()
+    inside = near.join(large, "key").select("key", "n", F.explode(F.array("lid", "top")).alias("lid")).distinct()
     roots = components(edges).withColumnRenamed("node", "lid")
-    named = materialize(inside.join(roots, "lid", "left").select("key", "lid", "sk", F.coalesce("root", "lid").alias("root"), "n"))
+    named = materialize(inside.join(roots, "lid", "left").select("key", "lid", F.coalesce("root", "lid").alias("root"), "n"))
     split = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
     return materialize(named.join(split, "key", "left_semi"))
 
 
 def group_pairs(open_: DataFrame) -> DataFrame:
-    """(a, b), a < b, of all lines of different roots in one group whose sketches don't rule them out."""
-    own, other = (open_.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("lid", "sk", "root")]) for x in "ab")
+    """(a, b), a < b, of all lines of different roots in one group."""
+    own, other = (open_.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("lid", "root")]) for x in "ab")
     both = own.join(other, "key").where((F.col("lid_a") < F.col("lid_b")) & (F.col("root_a") != F.col("root_b")))
-    return both.where(_apart("sk_a", "sk_b") <= APART).select(F.col("lid_a").alias("a"), F.col("lid_b").alias("b")).distinct()
+    return both.select(F.col("lid_a").alias("a"), F.col("lid_b").alias("b")).distinct()
 
 
 def prefix_pairs(open_: DataFrame, lines: DataFrame, least: float = SIMILAR) -> DataFrame:
@@ -141,16 +144,28 @@ def prefix_pairs(open_: DataFrame, lines: DataFrame, least: float = SIMILAR) ->
 
 
 def finer_pairs(open_: DataFrame, lines: DataFrame) -> DataFrame:
-    """(a, b) of open lines (key, lid, sk, root, n) of different roots: all pairs of a group that may be similar, however large it is."""
+    """(a, b) of open lines (key, lid, root, n) of different roots: all pairs of a group that may be similar, however large it is."""
     pairs = group_pairs(open_.where(F.col("n") <= WHOLE))
     rest = open_.where(F.col("n") > WHOLE).select("lid", "root").distinct()
     return pairs if rest.isEmpty() else pairs.union(prefix_pairs(rest, lines)).distinct()
 
 
-def similar_pairs(pairs: DataFrame, lines: DataFrame, style: ModuleType = line_builtin) -> DataFrame:
-    """Those (a, b) whose lines' shingle sets have a Jaccard similarity of ``SIMILAR`` or more."""
-    text = lines.select("lid", "line")
-    both = pairs.join(text.toDF("a", "ta"), "a").join(text.toDF("b", "tb"), "b")
+def possible_pairs(pairs: DataFrame, inside: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """Those (a, b) whose marks don't rule out a similarity of ``least``; a pair that has it is always among them."""
+    names = ["size"] + [f"w{k}" for k in range(WORDS)]
+    a, b = (inside.select(F.col("lid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in names]) for x in "ab")
+    differ = F.lit(0)
+    for c in names[1:]:
+        differ = differ + F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b")))
+    # Sizes count repeats, and so are never too small.
+    fits = (1 + least) * differ <= (1 - least) * (F.col("size_a") + F.col("size_b")) + 1e-6
+    return pairs.join(a, "a").join(b, "b").where(fits).select("a", "b")
+
+
+def similar_pairs(pairs: DataFrame, inside: DataFrame, style: ModuleType = line_builtin) -> DataFrame:
+    """Those (a, b) whose lines' shingle sets have a Jaccard similarity of ``SIMILAR`` or more; ``inside`` are the ``members``."""
+    text = inside.select("lid", "line")
+    both = possible_pairs(pairs, inside).join(text.toDF("a", "ta"), "a").join(text.toDF("b", "tb"), "b")
     both = both.where((F.length("ta") <= 2 * F.length("tb") + SHINGLE) & (F.length("tb") <= 2 * F.length("ta") + SHINGLE))
     return style.similar(both, SIMILAR)
 
@@ -158,13 +173,15 @@ def similar_pairs(pairs: DataFrame, lines: DataFrame, style: ModuleType = line_b
 def near_line_edges(lines: DataFrame, style: ModuleType = line_builtin) -> DataFrame:
     """Verified edges (a, b) between ids of similar lines."""
     near = materialize(neighbours(lines, style))
-    edges = materialize(similar_pairs(candidate_pairs(near), lines, style))
+    inside, met = members(near, lines), materialize(candidate_pairs(near))
+    edges = materialize(similar_pairs(met, inside, style))
     if near.where(F.col("place") > BACK + 2).isEmpty():
         return edges
     open_ = unconnected(near, edges)
     if open_.isEmpty():
         return edges
-    return edges.union(materialize(similar_pairs(finer_pairs(open_, lines), lines, style)))
+    more = finer_pairs(open_, inside).join(met, ["a", "b"], "left_anti")
+    return edges.union(materialize(similar_pairs(more, inside, style)))
 
 
 def dropped_lines(docs: DataFrame, native: bool = True) -> DataFrame:

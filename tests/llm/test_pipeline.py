@@ -66,3 +66,18 @@ def test_language_of_signs_only_goes(spark, data):
     out = corpus_pipeline.identify_language(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), data)
     got = {r.doc_id for r in out.collect()}
     assert 100 not in got and len(got) >= 50
+
+
+def test_line_stage_links_pairs_with_few_common_minima(spark, data):
+    """Pairs of lines at a similarity of 0.8 that share a band, though 10 or 11 of their 18 minima differ: no such link is lost."""
+    pairs = [
+        ("dkoldjaipebiffakbmnakajglbncpaboiknhoifnebkpoedokcpdihininmklin", "jpglpem", "eigdjdc"),
+        ("nmngjhkfgmckkmcdaaiekelgaljmhgpnnkmnnhkilcpidahgkhdhpgjkacaejbg", "cklailk", "ooangda"),
+        ("mheeffhilbpinohkfdncmahoppdelbnpfoghialfpddalpmnmhclecdobgpmeba", "coobghf", "ihgicok"),
+        ("enjefeohobokpinbkopmlahnebpinpmlpndpdbagbmccfdhbdncfaiegdjifofl", "gompihe", "nmldpdd"),
+        ("ibgnakdjpemapbfeofkdgdkpgaknlmpapemcpleoplojnkplpgnncjnefmjgape", "balpdaa", "opbmlki"),
+    ]
+    rows = [(2 * k + i, stem + end, "en", "s", 70) for k, (stem, *ends) in enumerate(pairs) for i, end in enumerate(ends)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.dedup_lines(spark, docs, data).collect()}
+    assert got == {i: t if i % 2 == 0 else "" for i, t, *_ in rows}
