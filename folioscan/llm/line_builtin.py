@@ -52,11 +52,15 @@ def band_rows(lines: DataFrame) -> DataFrame:
 
 
 def marks(lines: DataFrame) -> DataFrame:
-    """(lid, size, w0, w1 ...): how many shingles each line has, repeats counted, and ``WORDS`` words with a bit set for every shingle, by its hash."""
+    """(lid, size, marks): how many shingles each line has, repeats counted, and ``WORDS`` words with a bit set for every shingle, by its hash.
+
+    The words stand in one array: a join that carries a column for each on either side makes code that is slow to begin.
+    """
     sized = lines.select("lid", "line", F.greatest(F.length("line") - (SHINGLE - 1), F.lit(1)).alias("size"))
     x = shingle_hashes(sized, "size").select("lid", "size", F.explode(F.array(*[f"x{k}" for k in range(PIECE)])).alias("x"))
     words = x.groupBy("lid", "size", F.pmod("x", F.lit(WORDS)).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, int(x >> 20 & 63))")).alias("bits"))
-    return words.groupBy("lid", "size").agg(*[F.coalesce(F.bit_or(F.when(F.col("at") == k, F.col("bits"))), F.lit(0).cast("long")).alias(f"w{k}") for k in range(WORDS)])
+    each = [F.coalesce(F.bit_or(F.when(F.col("at") == k, F.col("bits"))), F.lit(0).cast("long")) for k in range(WORDS)]
+    return words.groupBy("lid", "size").agg(F.array(*each).alias("marks"))
 
 
 def hash_rows(lines: DataFrame, *keep: str) -> DataFrame:

@@ -34,6 +34,8 @@ of several texts with one id the smaller hash comes first; no rows give no rows.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
+from operator import or_
 from types import ModuleType
 
 from pyspark.sql import Column, DataFrame, Window
@@ -42,7 +44,7 @@ from pyspark.sql import functions as F
 from folioscan.llm import line_builtin, line_numpy
 from folioscan.llm.common import materialize, scratch_dir
 from folioscan.llm.components import components
-from folioscan.llm.line_rules import SHINGLE, SIMILAR, WORDS
+from folioscan.llm.line_rules import SHINGLE, SIMILAR
 
 #: Partners before it that a line of a band's group is paired with.
 BACK = 3
@@ -57,7 +59,10 @@ def occurrences(docs: DataFrame) -> DataFrame:
         F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), F.xxhash64("text").alias("h"),
         F.posexplode(F.split("text", "\n")).alias("line_no", "line"),
     )
-    lines = lines.withColumn("line", F.btrim("line", F.lit(" \t\r\x0b\x0c"))).where("line <> ''")
+    # Trimming looks at every character of a line; most lines show at either end that there is nothing to trim.
+    blanks = " \t\r\x0b\x0c"
+    ends = reduce(or_, [at("line", F.lit(c)) for at in (F.startswith, F.endswith) for c in blanks])
+    lines = lines.withColumn("line", F.when(ends, F.btrim("line", F.lit(blanks))).otherwise(F.col("line"))).where("line <> ''")
     return lines.withColumn("lid", F.xxhash64("line"))
 
 
@@ -94,7 +99,7 @@ def candidate_pairs(near: DataFrame) -> DataFrame:
 
 
 def members(near: DataFrame, lines: DataFrame) -> DataFrame:
-    """(lid, line, size, w0, w1 ...) of every line of a band's group, with its marks, stored bucketed by lid."""
+    """(lid, line, size, marks) of every line of a band's group, with its marks, stored bucketed by lid."""
     inside = near.select(F.explode(F.array("lid", "top")).alias("lid")).distinct()
     # The ids are few and short: they are hashed, the lines need no sort.
     own = _bucketed(lines.select("lid", "line").join(inside.hint("shuffle_hash"), "lid", "left_semi"))
@@ -152,11 +157,9 @@ def finer_pairs(open_: DataFrame, lines: DataFrame) -> DataFrame:
 
 def possible_pairs(pairs: DataFrame, inside: DataFrame, least: float = SIMILAR) -> DataFrame:
     """Those (a, b) whose marks don't rule out a similarity of ``least``; a pair that has it is always among them."""
-    names = ["size"] + [f"w{k}" for k in range(WORDS)]
-    a, b = (inside.select(F.col("lid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in names]) for x in "ab")
-    differ = F.lit(0)
-    for c in names[1:]:
-        differ = differ + F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b")))
+    a, b = (inside.select(F.col("lid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("size", "marks")]) for x in "ab")
+    words = F.zip_with("marks_a", "marks_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    differ = F.aggregate(words, F.lit(0), lambda sum_, n: sum_ + n)
     # Sizes count repeats, and so are never too small.
     fits = (1 + least) * differ <= (1 - least) * (F.col("size_a") + F.col("size_b")) + 1e-6
     return pairs.join(a, "a").join(b, "b").where(fits).select("a", "b")

@@ -231,6 +231,37 @@ def test_lines_that_share_a_band_all_meet(spark):
     assert len(want) > 100 and not [(a, b) for a, b in want if root[a] != root[b]]
 
 
+def test_marks_bound_the_difference(spark):
+    """A line's marks, in one array, are the bits of its shingles' hashes; pairs that they rule out, and no others, have too many differing bits."""
+    rng = random.Random(12)
+    base = "".join(rng.choice("abcdefg \u00e9\u4eca") for _ in range(160)).strip()
+    texts = ["x", "exactly8", base] + [base[:at] + "Z" * (1 + at % 7) + base[at + 1 :] for at in range(0, 150, 10)]
+    texts += ["".join(rng.choice("abcdefg ") for _ in range(160)).strip() for _ in range(10)]
+    table = spark.createDataFrame(list(enumerate(texts)), "lid long, line string")
+    hashes = defaultdict(set)
+    for r in line_builtin.hash_rows(table).collect():
+        hashes[r.lid].add(r.x)
+    bits = {k: {(x % 32, x >> 20 & 63) for x in own} for k, own in hashes.items()}
+    marked = line_builtin.marks(table)
+    got = {r.lid: r for r in marked.collect()}
+    assert {k: {(w, b) for w, word in enumerate(r.marks) for b in range(64) if word >> b & 1} for k, r in got.items()} == bits
+    assert {k: r.size for k, r in got.items()} == {k: max(1, len(t) - 7) for k, t in enumerate(texts)}
+    pairs = [(a, b) for a in bits for b in bits if a < b]
+    left = {tuple(r) for r in lines.possible_pairs(spark.createDataFrame(pairs, "a long, b long"), marked).collect()}
+    assert left == {(a, b) for a, b in pairs if 1.8 * len(bits[a] ^ bits[b]) <= 0.2 * (got[a].size + got[b].size) + 1e-6}
+    similar = {(a, b) for a, b in pairs if len(hashes[a] & hashes[b]) >= 0.8 * len(hashes[a] | hashes[b])}
+    assert similar and similar <= left < set(pairs)
+
+
+def test_lines_are_trimmed_at_both_ends(spark):
+    """Blanks go at either end whatever else stands there; other white space stays, within a line blanks do too."""
+    lines_ = ["plain", " a", "a ", "\tb", "b\t", "\x0bc\x0c", "d \r", " \t\r\x0b\x0c e  f \x0c\x0b", " ", "\t\r", "", "\u00a0g\u00a0", "\u4eca ", "h\u2003"]
+    docs = spark.createDataFrame([(1, "\n".join(lines_)), (2, None), (None, " i\n")], "doc_id long, text string")
+    got = {(r.doc, r.line_no): r.line for r in lines.occurrences(docs).collect()}
+    want = {(1, k): t.strip(" \t\r\x0b\x0c") for k, t in enumerate(lines_)} | {((1 << 63) - 1, 0): "i"}
+    assert got == {k: t for k, t in want.items() if t}
+
+
 # --- 3 language
 
 def test_language(spark, data, documents):
