@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscan.functions import legal, text
 from folioscan.operators import evaluation, grounding, ranking, sessions, structure, workflow
-from folioscan.plans.retrieval import table
+from folioscan.plans.retrieval import dealt, table
 from folioscan.sources import tables
 from folioscan.streaming import state
 
@@ -132,7 +132,7 @@ _ASK = ["What does section {} say?", "BNS {}(2)", "{} BNSS", "within {} days", "
 def section_intent(spark, d):
     n = (F.col("c_custkey") % 900 + 1).cast("string")
     asks = F.posexplode(F.array(*[F.concat(*[x for p in zip(map(F.lit, a.split("{}")), [n, F.lit("")]) for x in p]) for a in _ASK]))
-    q = table(spark, d, "customer").select("c_custkey", asks.alias("form", "q"))
+    q = dealt(spark, d, "customer").select("c_custkey", asks.alias("form", "q"))
     return q.select("c_custkey", "form", legal.section_intent(F.col("q")).alias("s"), legal.act_mention(F.col("q")).alias("act")).select("c_custkey", "form", "s.*", "act")
 
 
