@@ -11,7 +11,7 @@ from folioscan.functions import dialogue, text
 from folioscan.operators import checking, evaluation, index, ranking, references, sessions, structure, titles
 from folioscan.plans import documents as docs_plan
 from folioscan.plans import retrieval as r
-from folioscan.plans.retrieval import table
+from folioscan.plans.retrieval import dealt, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -40,7 +40,7 @@ def _asked(spark, d, forms: list[tuple]) -> DataFrame:
     """(c_custkey, form, q): every customer with every form, the customer's number in place of {}."""
     number = (F.col("c_custkey") % 900 + 1).cast("string")
     texts = [F.replace(F.lit(t), F.lit("{}"), number) for t, _ in forms]
-    return table(spark, d, "customer").select("c_custkey", F.posexplode(F.array(*texts)).alias("form", "q"))
+    return dealt(spark, d, "customer").select("c_custkey", F.posexplode(F.array(*texts)).alias("form", "q"))
 
 
 @query("route_intent", f"SELECT c_custkey, i::INT AS form, {_cases(_ROUTES)} AS route FROM customer, range(0, {len(_ROUTES)}) r(i)")

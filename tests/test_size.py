@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from folioscan.functions import legal
+from folioscan.functions import dialogue, legal
 
 
 def made(spark, use, name="regexp_extract_all("):
@@ -17,3 +17,7 @@ def test_section_intent_makes_its_marks_once(spark):
     asked = [("BNS 12(3)", ("12", "3")), ("within 30 days of section 7", ("7", None)), ("no number", None), ("धारा १२", ("12", None)), ("Rs 500", None), (None, None)]
     got = spark.createDataFrame([(q,) for q, _ in asked], "q string").select(legal.section_intent(F.col("q")).alias("s")).collect()
     assert [r["s"] and tuple(r["s"]) for r in got] == [w for _, w in asked]
+
+
+def test_route_makes_its_words_once(spark):
+    assert made(spark, dialogue.route) == 2
