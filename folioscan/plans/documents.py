@@ -143,7 +143,7 @@ def section_intent(spark, d):
 def detect_references(spark, d):
     t = F.format_string("see sections 81 to 84, Sections %d and 388 or sub-section (%d) of section %d.",
                         F.col("o_custkey") % 200 + 1, F.col("o_custkey") % 9 + 1, F.col("o_orderkey") % 300 + 1)
-    return table(spark, d, "orders").select("o_orderkey", F.array_join(legal.references(t), "|").alias("refs"))
+    return dealt(spark, d, "orders").select("o_orderkey", F.array_join(legal.references(t), "|").alias("refs"))
 
 
 # --- structure ---------------------------------------------------------------------------------

@@ -21,3 +21,10 @@ def test_section_intent_makes_its_marks_once(spark):
 
 def test_route_makes_its_words_once(spark):
     assert made(spark, dialogue.route) == 2
+
+
+def test_references_make_their_marks_once(spark):
+    assert made(spark, legal.references) == 1
+    text = "sections 1, 2 and 3 apply, section 9(2) too, " + "and so on " * 400 + "sub-section (4) of section 8, sections 5 to 7."
+    got = spark.createDataFrame([(text,)], "t string").select(legal.references(F.col("t")).alias("r")).first()["r"]
+    assert got == ["section 8(4)", "section 1", "section 2", "section 3", "section 9(2)", "section 5", "section 6", "section 7"]
