@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from folioscan.functions.text import once
+
 #: Acts by their English names, with what else they are called.
 ACT_ALIASES = {
     "Bharatiya Nyaya Sanhita": ("bharatiya nyaya sanhita", "bns", "भारतीय न्याय संहिता"),
@@ -44,6 +48,18 @@ def mentioned_acts(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(found, lambda a: names[a])))
 
 
+def _renamed(aliases: tuple[str, ...]) -> Callable[[Column], Column]:
+    """Of (name, text): the text with the name in place of each alias, or as it is where there is no name."""
+
+    def use(p: Column) -> Column:
+        out = p["text"]
+        for alias in aliases:
+            out = F.regexp_replace(out, F.lit(rf"(?iu)\Q{alias}\E"), p["name"])
+        return F.when(p["name"].isNull(), p["text"]).otherwise(out)
+
+    return use
+
+
 def repair_acts(original: Column, translated: Column) -> Column:
     """A translation that names the acts of its original.
 
@@ -51,18 +67,24 @@ def repair_acts(original: Column, translated: Column) -> Column:
     are added at the end in brackets. Nothing changes where the original names no act or the translation lost none. Any alias of a
     replaced act is rewritten, wherever it stands.
     """
-    asked, got = mentioned_acts(original), mentioned_acts(translated)
-    missing, introduced = F.array_except(asked, got), F.array_except(got, asked)
-    out = translated
-    for act in sorted(ACT_ALIASES):
-        at = F.array_position(introduced, act).cast("int")
-        # "$0" puts back what was found.
-        instead = F.coalesce(F.when(at > 0, F.get(missing, at - 1)), F.lit("$0"))
-        for alias in ACT_ALIASES[act]:
-            out = F.regexp_replace(out, F.lit(rf"(?iu)\Q{alias}\E"), instead)
-    lost = F.array_except(missing, mentioned_acts(out))
-    whole = F.when(F.size(lost) > 0, F.concat(F.rtrim(out), F.lit(" ("), F.array_join(F.array_sort(lost), ", "), F.lit(")"))).otherwise(out)
-    return F.when(F.size(missing) > 0, whole).otherwise(translated)
+
+    def rewritten(missing: Column, introduced: Column) -> Column:
+        out = translated
+        for act in sorted(ACT_ALIASES):
+            at = F.array_position(introduced, act).cast("int")
+            out = once(F.struct(F.when(at > 0, F.get(missing, at - 1)).alias("name"), out.alias("text")), _renamed(ACT_ALIASES[act]))
+        return out
+
+    def ended(missing: Column, out: Column) -> Column:
+        whole = lambda lost: F.when(F.size(lost) > 0, F.concat(F.rtrim(out), F.lit(" ("), F.array_join(F.array_sort(lost), ", "), F.lit(")"))).otherwise(out)
+        return once(F.array_except(missing, mentioned_acts(out)), whole)
+
+    def repaired(missing: Column, introduced: Column) -> Column:
+        return F.when(F.size(missing) > 0, once(rewritten(missing, introduced), lambda out: ended(missing, out))).otherwise(translated)
+
+    names = F.struct(mentioned_acts(original).alias("asked"), mentioned_acts(translated).alias("got"))
+    differing = once(names, lambda n: F.struct(F.array_except(n["asked"], n["got"]).alias("missing"), F.array_except(n["got"], n["asked"]).alias("introduced")))
+    return once(differing, lambda x: repaired(x["missing"], x["introduced"]))
 
 
 def plausible_translation(original: Column, translated: Column) -> Column:

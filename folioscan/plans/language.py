@@ -9,7 +9,7 @@ from folioscan.functions import language
 from folioscan.operators import labels, titles, workflow
 from folioscan.sources import exposition, tables
 from folioscan.streaming import failover, state
-from folioscan.plans.retrieval import table
+from folioscan.plans.retrieval import dealt, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -36,7 +36,7 @@ def _formed(spark, d, forms: list[tuple], names: list[str]) -> DataFrame:
     number = F.col("c_custkey").cast("string")
     part = lambda t: F.lit(None).cast("string") if t is None else F.replace(F.lit(t), F.lit("{}"), number)
     rows = F.array(*[F.struct(F.lit(i).alias("form"), *[part(t).alias(n) for t, n in zip(f, names)]) for i, f in enumerate(forms)])
-    return table(spark, d, "customer").select("c_custkey", F.inline(rows))
+    return dealt(spark, d, "customer").select("c_custkey", F.inline(rows))
 
 
 _IPC, _BNS, _BNSS, _CRPC = "Indian Penal Code", "Bharatiya Nyaya Sanhita", "Bharatiya Nagarik Suraksha Sanhita", "Code of Criminal Procedure"

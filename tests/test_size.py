@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from folioscan.functions import dialogue, legal
+from folioscan.functions import dialogue, language, legal
 
 
 def made(spark, use, name="regexp_extract_all("):
@@ -28,3 +28,8 @@ def test_references_make_their_marks_once(spark):
     text = "sections 1, 2 and 3 apply, section 9(2) too, " + "and so on " * 400 + "sub-section (4) of section 8, sections 5 to 7."
     got = spark.createDataFrame([(text,)], "t string").select(legal.references(F.col("t")).alias("r")).first()["r"]
     assert got == ["section 8(4)", "section 1", "section 2", "section 3", "section 9(2)", "section 5", "section 6", "section 7"]
+
+
+def test_act_repair_finds_acts_once(spark):
+    # In the original, in the translation, and in what that is written to.
+    assert made(spark, lambda t: language.repair_acts(t, t)) == 3
