@@ -1,9 +1,11 @@
 """What large tables need: values made once a row, rows dealt over tasks, no question table broadcast."""
 
+import pytest
 import pytest
 from pyspark.sql import functions as F
 
 from folioscan.functions import dialogue, language, legal
+from folioscan.plans import composed
 
 
 def made(spark, use, name="regexp_extract_all("):
@@ -33,3 +35,12 @@ def test_references_make_their_marks_once(spark):
 def test_act_repair_finds_acts_once(spark):
     # In the original, in the translation, and in what that is written to.
     assert made(spark, lambda t: language.repair_acts(t, t)) == 3
+
+
+@pytest.mark.parametrize("name", ["retrieve_route"])
+def test_no_question_table_is_broadcast(spark, data, name):
+    """A file's size says little of the questions made of it: Spark took them for as small as their customers."""
+    plan = composed.QUERIES[name](spark, data)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan
+    tables = [x for x in plan.split("BroadcastHashJoin")[1:] if x.startswith(" [query_id")]
+    assert not tables
