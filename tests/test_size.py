@@ -37,7 +37,7 @@ def test_act_repair_finds_acts_once(spark):
     assert made(spark, lambda t: language.repair_acts(t, t)) == 3
 
 
-@pytest.mark.parametrize("name", ["retrieve_route"])
+@pytest.mark.parametrize("name", ["retrieve_route", "retrieved_rows"])
 def test_no_question_table_is_broadcast(spark, data, name):
     """A file's size says little of the questions made of it: Spark took them for as small as their customers."""
     plan = composed.QUERIES[name](spark, data)._jdf.queryExecution().sparkPlan().toString()
