@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscan.functions.language import ends_in_refusal
-from folioscan.functions.text import slug
+from folioscan.functions.text import once, slug
+from folioscan.session import stored
 
 #: The stages of an upload, in order.
 STAGES = ("QUEUED", "PARSING", "CHUNKING", "EMBEDDING", "INDEXING", "READY")
@@ -58,9 +59,13 @@ def search_forms(queries: DataFrame, forms: DataFrame, stopwords: tuple[str, ...
     q = queries.select("query_id", F.lower(F.trim("query")).alias("__q"), words(F.col("query")).alias("__w")).where("__q <> ''")
     asked = F.array(key("n:", F.col("__q")), key("g:", F.substring("__q", 1, 3)), key("w:", F.get("__w", 0)))
     f = forms.select("form_number", F.lower(F.concat_ws(" ", "title", slug(F.col("title")))).alias("__h"), words(F.col("title")).alias("__t"))
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.length("__h")), lambda i: F.array(*[key("g:", F.substring("__h", i, F.lit(n))) for n in (1, 2, 3)])))
-    held = F.array_distinct(F.concat(F.array(key("n:", F.col("form_number").cast("string"))), F.when(F.length("__h") > 0, grams).otherwise(F.array().cast("array<string>")), F.transform("__t", lambda w: key("w:", w))))
-    met = q.select("*", F.explode(F.array_distinct(F.array_compact(asked))).alias("__k")).join(f.select("*", F.explode(held).alias("__k")), "__k").drop("__k")
+    grams = lambda h: F.flatten(F.transform(F.sequence(F.lit(1), F.length(h)), lambda i: F.array(*[key("g:", F.substring(h, i, F.lit(n))) for n in (1, 2, 3)])))
+    held = F.array_distinct(F.concat(F.array(key("n:", F.col("form_number").cast("string"))), F.when(F.length("__h") > 0, once(F.col("__h"), grams)).otherwise(F.array().cast("array<string>")),
+                                     F.transform("__t", lambda w: key("w:", w))))
+    # Stored, so that Spark knows how many keys are asked for; forms are only looked up by these, and their texts are sent no further than that.
+    wanted = stored(q.select("*", F.explode(F.array_distinct(F.array_compact(asked))).alias("__k")))
+    keys = f.select("*", F.explode(held).alias("__k")).join(wanted.select("__k").distinct(), "__k", "left_semi")
+    met = wanted.join(keys, "__k").drop("__k")
     distinct = F.array_distinct("__w")
     # Each word is looked for after the one before it; -1 once one is missing there.
     rest = lambda at: F.slice(F.col("__t"), at + 1, F.size("__t"))

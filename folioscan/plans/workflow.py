@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioscan.operators import workflow
-from folioscan.plans.retrieval import table
+from folioscan.plans.retrieval import dealt, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -37,7 +37,7 @@ def inspect_pages(spark, d):
     SELECT query_id, p_partkey AS form_number, CASE WHEN contains(lower(p_name), q) THEN 500000 ELSE len(q.w) * 100 + CASE WHEN list_sort(list_transform(q.o, lambda x: list_position(f.w, x))) = list_transform(q.o, lambda x: list_position(f.w, x)) THEN 50 ELSE 0 END END::BIGINT AS score
     FROM q, f WHERE contains(lower(p_name), q) OR list_has_all(f.w, q.w)""")
 def forms_search(spark, d):
-    part = table(spark, d, "part")
+    part = dealt(spark, d, "part")
     q = table(spark, d, "nation").join(part, F.col("p_partkey") == F.col("n_nationkey") + 1).select(F.col("n_nationkey").alias("query_id"), F.col("p_name").alias("query"))
     return workflow.search_forms(q, part.select(F.col("p_partkey").alias("form_number"), F.col("p_name").alias("title")))
 

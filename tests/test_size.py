@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscan.functions import dialogue, language, legal
+from folioscan.operators import workflow
 from folioscan.plans import composed
 
 
@@ -44,3 +45,12 @@ def test_no_question_table_is_broadcast(spark, data, name):
     assert "SortMergeJoin" in plan
     tables = [x for x in plan.split("BroadcastHashJoin")[1:] if x.startswith(" [query_id")]
     assert not tables
+
+
+def test_forms_are_sent_only_by_keys_that_are_asked_for(spark):
+    forms = spark.range(2000).select(F.col("id").alias("form_number"), F.concat(F.lit("Return of stock "), F.col("id").cast("string")).alias("title"))
+    q = spark.createDataFrame([(1, "stock 77"), (2, "77"), (3, "of 5 stock")], "query_id int, query string")
+    found = workflow.search_forms(q, forms)
+    assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["query_id"], r["form_number"]): r["score"] for r in found.collect()}
+    assert got[1, 77] == got[1, 770] == 500_000 and got[2, 77] == 1_000_000 and got[2, 1770] == 500_000 and got[3, 5] == 200 and (3, 77) not in got
