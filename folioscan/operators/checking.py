@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscan.functions.legal import CITATION, DOCUMENT, ascii_digits, citations, document_citations, normal_brackets
+from folioscan.session import stored
 
 #: Names of acts and the code of each.
 ACT_NAMES = {
@@ -143,6 +144,8 @@ def check_answers(answers: DataFrame, evidence: DataFrame, key: str = "answer_id
     s = sentence_stream(answers, key).withColumn("__k", F.struct(key, "seq"))
     statutes, files = citations(F.col("sentence")), document_citations(F.col("sentence"))
     s = s.withColumn("__labels", F.concat(F.transform(statutes, statute_label), F.transform(files, document_label))).withColumn("__bare", without(F.col("sentence"), F.col("__labels")))
+    # Stored: sentences are cut once, not once for each of the joins below.
+    s = stored(s)
     names = F.create_map(*[F.lit(x) for kv in ACT_NAMES.items() for x in kv])
     acts = evidence.select(F.upper("act_short").alias("__act")).distinct().withColumn("__has", F.lit(True))
     named = names[F.lower(F.regexp_extract("sentence", r"(?i)\b(" + "|".join(sorted(ACT_NAMES, key=len, reverse=True)) + r")\b", 1))]
@@ -154,6 +157,7 @@ def check_answers(answers: DataFrame, evidence: DataFrame, key: str = "answer_id
     common = ["__k", "starts", "lone", "__bare"]
     cited = one.select(*common, statute_label(F.col("c")).alias("label"), "c.act_short", "c.section_number", "c.subsections", none("string", "document_id"), none("int", "page")).union(
         two.select(*common, document_label(F.col("c")).alias("label"), none("string", "act_short"), none("string", "section_number"), none("string", "subsections"), "c.document_id", "c.page"))
+    cited = stored(cited)
     vocabulary = _offered(cited, evidence, documents)
     known = vocabulary.select("label").distinct().withColumn("__ok", F.lit(1))
     own = s.select("__k", F.explode(content_tokens(F.col("__bare"))).alias("token"))

@@ -182,7 +182,7 @@ def _checked(spark, d) -> DataFrame:
     n = F.expr(_N).cast("string")
     known = lambda c: F.substring(F.md5(c.cast("string").cast("binary")), 1, 12)
     forms = F.array(*[F.replace(F.replace(F.lit(t), F.lit("{}"), n), F.lit("{h}"), known(n)) for t, _ in _ANSWERS])
-    answers = table(spark, d, "orders").select(F.col("o_orderkey").alias("answer_id"), F.get(forms, (F.col("o_orderkey") % len(_ANSWERS)).cast("int")).alias("text"))
+    answers = dealt(spark, d, "orders").select(F.col("o_orderkey").alias("answer_id"), F.get(forms, (F.col("o_orderkey") % len(_ANSWERS)).cast("int")).alias("text"))
     body = F.concat(F.lit("Whoever sells a widget shall pay damages under rule (1) on "), "p_type")
     number = (F.col("p_partkey") % 400 + 1).cast("string")
     evidence = table(spark, d, "part").select(F.lit("BNS").alias("act_short"), number.alias("section_number"), F.lit(None).cast("string").alias("subsection"), body.alias("text"))
