@@ -12,6 +12,7 @@ from folioscan.operators import checking, evaluation, index, ranking, references
 from folioscan.plans import documents as docs_plan
 from folioscan.plans import retrieval as r
 from folioscan.plans.retrieval import dealt, table
+from folioscan.session import stored
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -245,7 +246,8 @@ def mrr(spark, d):
     docs = table(spark, d, "documents")
     asked = r._queries(spark, d)
     expected = asked.join(docs.select("doc_id"), F.col("doc_id") % 97 == F.col("query_id") % 97).select("query_id", "doc_id")
-    runs = {"sparse": index.top_k(index.bm25(asked, docs), 10), "hybrid": r._fused(spark, d).where("rank <= 10")}
+    sparse = stored(index.top_k(index.bm25(asked, docs), 20))
+    runs = {"sparse": sparse.where("rank <= 10"), "hybrid": r._fused(spark, d, sparse).where("rank <= 10")}
     scored = [evaluation.recall_and_rank(expected, run).withColumn("config", F.lit(name)) for name, run in runs.items()]
     return reduce(DataFrame.unionByName, scored).groupBy("config").agg(
         F.count("*").alias("n_cases"), F.round(F.avg("recall_at_10"), 6).alias("recall_at_10"), F.round(F.avg("reciprocal_rank"), 6).alias("mrr")

@@ -166,8 +166,10 @@ f AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + r)), 9) AS rrf_scor
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, first_seen) AS rank FROM f)"""
 
 
-def _fused(spark, d) -> DataFrame:
-    sparse = index.top_k(index.bm25(_queries(spark, d), table(spark, d, "documents")), 20)
+def _fused(spark, d, sparse: DataFrame | None = None) -> DataFrame:
+    """Sparse and lexical lists fused; ``sparse``, the first 20 rows of each question's sparse list, where it is there already."""
+    if sparse is None:
+        sparse = index.top_k(index.bm25(_queries(spark, d), table(spark, d, "documents")), 20)
     lexical = index.top_k(_lexical(spark, d).withColumnRenamed("chunk_id", "doc_id").select("query_id", "doc_id", "score"), 20)
     fused = ranking.fuse([("sparse", sparse), ("lexical", lexical)])
     order = Window.partitionBy("query_id").orderBy(F.desc("rrf_score"), "first_seen")
