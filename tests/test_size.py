@@ -4,8 +4,8 @@ import pytest
 import pytest
 from pyspark.sql import functions as F
 
-from folioscan.functions import dialogue, language, legal
-from folioscan.operators import workflow
+from folioscan.functions import dialogue, language, legal, text
+from folioscan.operators import structure, titles, workflow
 from folioscan.plans import composed
 
 
@@ -62,3 +62,24 @@ def test_a_file_is_not_named_by_a_longer_number(spark):
             ("rent and rent deed 100000", "rent-deed-100000.pdf", True), ("deed rent 100000", "rent-deed-100000.pdf", False), ("current deed 100000", "rent-deed-100000.pdf", False)]
     got = spark.createDataFrame(said, "q string, f string, w boolean").select("w", dialogue.names_file(F.col("q"), F.col("f")).alias("g")).collect()
     assert [r["g"] for r in got] == [r["w"] for r in got]
+
+
+def test_title_token_takes_the_first_suffix_that_leaves_three_letters(spark):
+    words = "nations creation nation ments payments aged ages ties flies sess age wages sedation x yes stations".split()
+    first = lambda w: next((w[: -len(s)] for s in text.TITLE_SUFFIXES if w.endswith(s) and len(w) - len(s) >= 3), w)
+    got = spark.createDataFrame([(w,) for w in words], "w string").select("w", text.title_token(F.col("w")).alias("t")).collect()
+    assert [r["t"] for r in got] == [first(r["w"]) for r in got]
+
+
+def test_first_lines_are_read_once_a_section(spark):
+    rows = spark.createDataFrame([(1, "a long title\nwith more words")], "doc_id int, text string")
+    plan = titles.title_matches(rows.select(F.col("doc_id").alias("title_id"), "text"), rows)._jdf.queryExecution().optimizedPlan().toString()
+    # A generator's Project would read the line again for every token that comes out of it.
+    assert not [x for x in plan.split("\n") if "Project" in x and "array_contains" in x and "regexp_extract_all" in x]
+
+
+def test_lines_are_cleaned_once(spark):
+    lines = spark.createDataFrame([(1, 1, "a rule glued7. Whoever does"), (1, 2, "GAZETTE OF INDIA"), (1, 3, None)], "doc_id int, line_no int, line string")
+    found = structure.clean_page(lines)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("·") == 1
+    assert [r["line"] for r in found.orderBy("line_no").collect()] in (["a rule glued.", "7. Whoever does"], ["a rule glued.7. Whoever does"])
