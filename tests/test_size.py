@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscan.functions import dialogue, language, legal, text
-from folioscan.operators import structure, titles, workflow
-from folioscan.plans import composed
+from folioscan.operators import checking, index, structure, titles, workflow
+from folioscan.plans import answers, composed
 
 
 def made(spark, use, name="regexp_extract_all("):
@@ -83,3 +83,17 @@ def test_lines_are_cleaned_once(spark):
     found = structure.clean_page(lines)
     assert found._jdf.queryExecution().optimizedPlan().toString().count("·") == 1
     assert [r["line"] for r in found.orderBy("line_no").collect()] in (["a rule glued.", "7. Whoever does"], ["a rule glued.7. Whoever does"])
+
+
+@pytest.mark.parametrize("module, name", [(answers, "mrr"), (composed, "eval_dense_hybrid")])
+def test_the_sparse_list_is_made_once(spark, data, monkeypatch, module, name):
+    calls, made_by = [], index.bm25
+    monkeypatch.setattr(index, "bm25", lambda *a, **k: calls.append(1) or made_by(*a, **k))
+    plan = module.QUERIES[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(calls) == 1 and "qtf" not in plan
+
+
+def test_sentences_are_cut_once(spark):
+    rows = spark.createDataFrame([(1, "The widget is sold [BNS s.5]. It is not.")], "answer_id int, text string")
+    evidence = spark.createDataFrame([("BNS", "5", None, "Whoever sells a widget")], "act_short string, section_number string, subsection string, text string")
+    assert "posexplode" not in checking.check_answers(rows, evidence)._jdf.queryExecution().optimizedPlan().toString()
